@@ -57,3 +57,20 @@ def shuffles(spark: SparkSession) -> int:
 def in_group(column: str, remainder: int = 2, of: int = 4):
     """Whether crc32 of the id as text leaves this remainder."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % of == remainder
+
+
+#: Bits of a sieve; as rows of 64 bits it has at most 131,072 (2 MB), whatever it is built from.
+SIEVE_BITS = 1 << 23
+
+
+def sieve(ids: DataFrame) -> DataFrame:
+    """A bitmap over the hashes of ids' columns, of bounded size: to be broadcast."""
+    k = F.pmod(F.xxhash64(*ids.columns), F.lit(SIEVE_BITS))
+    return ids.select(k.alias("k")).groupBy(F.shiftright("k", 6).alias("sieve_cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k % 64 as int))")).alias("sieve_bits"))
+
+
+def sifted(df: DataFrame, bitmap: DataFrame, *columns: str) -> DataFrame:
+    """The rows whose columns may be among those the bitmap was built from; few others, while it isn't full. It
+    spares shuffling the rest and decides nothing: an exact join follows. Without a hit, rows go before any shuffle."""
+    k = F.pmod(F.xxhash64(*columns), F.lit(SIEVE_BITS))
+    return df.withColumn("sieve_k", k).join(F.broadcast(bitmap), F.shiftright("sieve_k", 6) == F.col("sieve_cell")).filter("(shiftright(sieve_bits, cast(sieve_k % 64 as int)) & 1) = 1").drop("sieve_k", "sieve_cell", "sieve_bits")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.bytetext import mix64, ragged, slices, words
-from keyloom.llm.common import keep
+from keyloom.llm.common import keep, sieve, sifted
 from keyloom.llm.components import components
 
 COORDINATES, MATCHES, SHINGLE = 32, 12, 5
@@ -129,13 +129,9 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar. Only texts that pairs name are shuffled: a bitmap of fixed size
-    (131,072 rows of 64 bits) over hashed ids sorts out the others first."""
+    """The pairs (a, b) whose full sets are similar. Only texts that pairs name are shuffled."""
     pairs = keep(pairs, "pairs")
-    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(1 << 23))
-    named = pairs.select(F.explode(F.array("a", "b")).alias("id")).select(bucket(F.col("id")).alias("k"))
-    bitmap = named.groupBy(F.shiftright("k", 6).alias("cell")).agg(F.bit_or(F.expr("shiftleft(1L, cast(k % 64 as int))")).alias("bits"))
-    texts = docs.withColumn("k", bucket(F.col("doc_id"))).join(F.broadcast(bitmap), F.shiftright("k", 6) == F.col("cell")).filter("(shiftright(bits, cast(k % 64 as int)) & 1) = 1").select("doc_id", "text")
+    texts = sifted(docs, sieve(pairs.select(F.explode(F.array("a", "b")).alias("id"))), "doc_id").select("doc_id", "text")
     a, b = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(a, "a").join(b, "b").filter(_similar("text_a", "text_b")).select("a", "b")
 

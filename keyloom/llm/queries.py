@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from keyloom.llm import chat_format, minhash_dedup, packing, token_planes, warc
+from keyloom.llm import chat_format, line_dedup, minhash_dedup, packing, token_planes, warc
 from keyloom.llm.common import documents, table
 
 
@@ -30,6 +30,10 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op4_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.token_planes(documents(spark, sf_dir))
 
@@ -42,7 +46,7 @@ def op7_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_chat_format, op4_token_planes, op6_warc_revisit, op7_min_slack_packing)}
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_chat_format, op3_line_dedup, op4_token_planes, op6_warc_revisit, op7_min_slack_packing)}
 ORACLES: dict[str, str] = {
     "op2_chat_format": """
         WITH src AS (
