@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from pyspark.sql import functions as F
 
-from keyloom.llm import chat_format, line_dedup, minhash_dedup, packing, token_planes, warc
-from keyloom.llm.common import documents, table
+from keyloom.llm import ann, chat_format, decontaminate, language_id, line_dedup, minhash_dedup, packing, token_planes, toxicity, warc
+from keyloom.llm.common import documents, in_group, table
 
 
 def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,12 @@ def op4_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_planes.token_planes(documents(spark, sf_dir))
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = language_id.train(docs, ~in_group("doc_id"))
+    return language_id.identify(docs, model).select("doc_id", in_group("doc_id").alias("held_out"), "lang_pred", "score")
+
+
 def op6_warc_revisit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(table(spark, sf_dir, "pages"))
 
@@ -46,7 +52,21 @@ def op7_min_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_chat_format, op3_line_dedup, op4_token_planes, op6_warc_revisit, op7_min_slack_packing)}
+def op8_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = toxicity.learn(docs, table(spark, sf_dir, "labels"), ~in_group("doc_id"))
+    return toxicity.score(docs, model).select("doc_id", in_group("doc_id").alias("held_out"), "score", "predicted")
+
+
+def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_chat_format, op3_line_dedup, op4_token_planes, op5_language_id, op6_warc_revisit, op7_min_slack_packing, op8_collision_ann, op9_toxicity, op10_decontaminate)}
 ORACLES: dict[str, str] = {
     "op2_chat_format": """
         WITH src AS (
