@@ -2,8 +2,8 @@
 
 A conversation is rendered as turns `<|im_start|>role LF text<|im_end|> LF`. A deterministic parser reads the
 rendering back: it cuts at `<|im_start|>`, takes the role up to the first line feed and the text up to the closing
-`<|im_end|> LF`, and undoes escapes. Where the turns recovered differ from the source, the fields that conflict are
-escaped and the conversation is rendered and parsed again; what comes back then is the source, as escaping leaves
+`<|im_end|> LF`, and undoes escapes. Where the turns recovered differ from the source, or a field holds `<|`, the fields that
+conflict are escaped and the conversation is rendered and parsed again; what comes back then is the source, as escaping leaves
 no control string and is undone exactly:
 
 * `<`, backslashes, `|` gets one backslash more, in texts and roles;
@@ -69,6 +69,11 @@ def _escaped(turns: Column) -> Column:
     return F.transform(turns, turn)
 
 
+def _open(t):
+    """Whether a field holds what may begin a control string."""
+    return (F.instr(t["text"], "<|") > 0) | (F.instr(t["role"], "<|") > 0)
+
+
 def format_chats(conversations: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """conv_id, formatted, escaped (whether any field was), turns (read back), loss_text, round_trip.
 
@@ -77,7 +82,7 @@ def format_chats(conversations: DataFrame, loss_role: str = "assistant") -> Data
     fields = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     source = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(fields)).alias("rows"))
     source = source.select("conv_id", F.transform("rows", lambda r: F.struct(r["role"].alias("role"), r["text"].alias("text"))).alias("source"))
-    drawn = source.withColumn("first", render(F.col("source"))).withColumn("escaped", ~F.coalesce(parse(F.col("first")) == F.col("source"), F.lit(False)))
+    drawn = source.withColumn("first", render(F.col("source"))).withColumn("escaped", ~F.coalesce(parse(F.col("first")) == F.col("source"), F.lit(False)) | F.exists("source", _open))
     drawn = drawn.withColumn("formatted", F.when(F.col("escaped"), render(_escaped(F.col("source")))).otherwise(F.col("first")))
     read = drawn.withColumn("turns", parse(F.col("formatted")))
     return read.select("conv_id", "formatted", "escaped", "turns", F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == loss_role), lambda t: t["text"]), "").alias("loss_text"), (F.col("turns") == F.col("source")).alias("round_trip"))

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_written: list[str] = []
+_recording: list[list[str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,7 +32,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, tag: str) -> str:
     path = f"{shared_folder(spark)}/keyloom/{tag}-{uuid.uuid4().hex[:12]}"
-    _written.append(path)
+    for paths in _recording:
+        paths.append(path)
     return path
 
 
@@ -42,11 +45,21 @@ def keep(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def sweep(spark: SparkSession) -> None:
-    """Deletes what keep() has written so far. For callers that have consumed every result that reads it."""
+@contextlib.contextmanager
+def recorded() -> Iterator[list[str]]:
+    """The paths that new_path() gives meanwhile."""
+    _recording.append(paths := [])
+    try:
+        yield paths
+    finally:
+        _recording.remove(paths)
+
+
+def sweep(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes recorded paths. For callers that have consumed every result that reads them."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _written:
-        p = jvm.org.apache.hadoop.fs.Path(_written.pop())
+    while paths:
+        p = jvm.org.apache.hadoop.fs.Path(paths.pop())
         p.getFileSystem(conf).delete(p, True)
 
 

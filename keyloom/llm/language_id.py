@@ -138,18 +138,31 @@ def train(docs: DataFrame, training) -> dict:
     return learn(np.frombuffer(b"".join(found["x"]), np.float32).reshape(-1, BUCKETS), found["lang"].tolist())
 
 
-def identify(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, lang_pred, score, one row for each row of docs(doc_id, text)."""
+def identify(docs: DataFrame, model: dict, carry: list[str] | None = None) -> DataFrame:
+    """doc_id, lang_pred, score, one row for each row of docs(doc_id, text).
+
+    With carry, the columns of docs that it names come first, in place of doc_id alone.
+    """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
+    if carry is None:
+        docs, carry = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), ["doc_id"]
+    place = docs.columns.index("text")
+    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry), "lang_pred string", "score double"])
 
     def run(batches):
+        import pyarrow as pa
+
         m = shipped.value
-        for pdf in batches:
-            texts = pdf["text"].tolist()
+        for batch in batches:
+            texts = batch.column(place).to_pylist()
+            langs, scores = [], []
             for i, x in features(texts):
                 lang, score = predict(m, x) if m["names"] else (np.zeros(len(x), int), np.zeros(len(x)))
                 fine = np.array([has_letter(t) for t in texts[i : i + len(x)]]) & bool(m["names"])
-                names = [m["names"][k] if ok else "und" for k, ok in zip(lang, fine)]
-                yield pd.DataFrame({"doc_id": pdf["doc_id"].array[i : i + len(x)], "lang_pred": names, "score": np.where(fine, score, 0.0).astype(np.float64)})
+                langs += [m["names"][k] if ok else "und" for k, ok in zip(lang, fine)]
+                scores.append(np.where(fine, score, 0.0).astype(np.float64))
+            columns = [batch.column(docs_at[c]) for c in carry]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(np.concatenate([*scores, np.empty(0)]))], names=[*carry, "lang_pred", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, lang_pred string, score double")
+    docs_at = {c: k for k, c in enumerate(docs.columns)}
+    return docs.mapInArrow(run, schema)

@@ -27,6 +27,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from keyloom.llm.bytetext import mix64, ragged, slices, words
 from keyloom.llm.common import keep, sieve, sifted
@@ -108,7 +109,7 @@ def _post(hot):
     return run
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(T.IntegerType())
 def _collisions(a: pd.Series, b: pd.Series) -> pd.Series:
     if not len(a):
         return pd.Series([], dtype="int32")
@@ -116,7 +117,7 @@ def _collisions(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series((x == y).sum(1).astype(np.int32))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
     out, known = [], ("", np.empty(0, np.uint64))
     for x, y in zip(a, b):
