@@ -21,6 +21,14 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
+def session(df: DataFrame) -> SparkSession:
+    """df's session, with Arrow batches of at most 1000 rows (the default is 10,000): texts are large, workers small."""
+    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > 1000:
+        spark.conf.set(key, "1000")
+    return spark
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; only where none is set (tests), a temporary one on this machine."""
     folder = spark.conf.get("spark.checkpoint.dir", None)

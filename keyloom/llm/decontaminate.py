@@ -26,6 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.llm.common import session
 from keyloom.llm.bytetext import mix64, ragged, slices, words
 
 SHINGLE, OVERLAP, PART_OVERLAP = 5, 0.75, 0.5
@@ -191,7 +192,7 @@ def _scan(shipped):
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row for each row of docs(doc_id, text) and item of benchmark(item_id, text) that it holds."""
-    spark = docs.sparkSession
+    spark = session(docs)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("item_id is not null and text is not null")
     count, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()

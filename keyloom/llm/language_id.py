@@ -21,6 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.llm.common import session
 from keyloom.llm.bytetext import _LOWER, slices
 
 BUCKETS = 2048
@@ -143,7 +144,7 @@ def identify(docs: DataFrame, model: dict, carry: list[str] | None = None) -> Da
 
     With carry, the columns of docs that it names come first, in place of doc_id alone.
     """
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped = session(docs).sparkContext.broadcast(model)
     if carry is None:
         docs, carry = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), ["doc_id"]
     place = docs.columns.index("text")

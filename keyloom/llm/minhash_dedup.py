@@ -3,17 +3,19 @@
 A document's set is its distinct five-word shingles (A-Z lower-cased; a shorter text is one shingle; a text without
 words has none and is linked with nothing). Documents are linked when 100 * |A and B| >= 75 * |A or B|.
 
-1. Signatures of 32 coordinates; documents with equal sets (by a 128-bit hash) become a class, and only its
+1. Signatures of 96 coordinates; documents with equal sets (by a 128-bit hash) become a class, and only its
    smallest doc_id goes on.
-2. Each class is posted under (coordinate, value) pairs. A pair of documents counts as a candidate if 12 of the 32
-   coordinates collide; at similarity 0.75 fewer collide with probability 2e-6. Two signatures with 12 collisions
-   share one of the first 21 entries of any common order, so only this prefix is posted, entries that more than
-   one in 10,000 documents hold last: common passages are skipped, and their collisions are counted on the whole
-   signatures of documents that meet elsewhere.
+2. Each class is posted under (coordinate, value) pairs of the first 32 coordinates. Of these, 12 or more collide for
+   a pair of similarity 0.75 (but for a probability of 2e-6), and two signatures with 12 collisions share one of the
+   first 21 entries of any common order; so only this prefix is posted, entries that more than one in 10,000 documents
+   hold last. Common passages are skipped so; their collisions are counted on the whole signatures of documents that
+   meet elsewhere. Candidates are pairs with 52 of all 96 collisions (at similarity 0.75 fewer have a probability
+   of 3e-6, at 0.4 as many one of 0.4 %).
 3. Long lists aren't expanded into pairs. First each document meets only the list's smallest; its best leader is
    verified on full sets, and the links are contracted. Then only lists that still hold several components are
    merged, in blocks of bounded size: collisions are counted block against block, and pairs from different
-   components at 12 collisions or more are verified on full sets. Every candidate is thus either verified, or
+   components at 52 collisions or more are verified on full sets. A pair is
+   counted in the list of its first common posted coordinate alone. Every candidate is thus either verified, or
    within one component already, which is all that components need.
 
 Defined cases: null and empty texts: no shingles, own component; rows of null doc_id come back with null
@@ -30,11 +32,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyloom.llm.bytetext import mix64, ragged, slices, words
-from keyloom.llm.common import keep, sieve, sifted
+from keyloom.llm.common import keep, session, sieve, sifted
 from keyloom.llm.components import components
 
-COORDINATES, MATCHES, SHINGLE = 32, 12, 5
-#: Share of documents from which an entry is posted last; at most COORDINATES / HOT_SHARE entries.
+COORDINATES, MATCHES, POSTED, POSTED_MATCHES, SHINGLE = 96, 52, 32, 12, 5
+#: Share of documents from which an entry is posted last; at most POSTED / HOT_SHARE entries.
 HOT_SHARE = 1e-4
 BLOCK = 512
 _ODD = np.array([(0x9E3779B97F4A7C15 * (2 * k + 1) + 0x7F4A7C15 * k * 2) % (1 << 64) | 1 for k in range(1, COORDINATES + 1)], np.uint64)
@@ -75,8 +77,8 @@ def _sign(batches):
 
 
 def _entries(sigs) -> np.ndarray:
-    sig = np.frombuffer(b"".join(sigs), "<u4").reshape(-1, COORDINATES).astype(np.uint64)
-    return mix64(sig | (np.arange(COORDINATES, dtype=np.uint64) << np.uint64(32)))
+    sig = np.frombuffer(b"".join(sigs), "<u4").reshape(-1, COORDINATES)[:, :POSTED].astype(np.uint64)
+    return mix64(sig | (np.arange(POSTED, dtype=np.uint64) << np.uint64(32)))
 
 
 def _local_counts(share: float):
@@ -102,9 +104,10 @@ def _post(hot):
             if len(keys):
                 where = np.minimum(np.searchsorted(keys, entry), len(keys) - 1)
                 n = np.where(keys[where] == entry, counts[where], 0)
-            prefix = COORDINATES - MATCHES + 1
+            prefix = POSTED - POSTED_MATCHES + 1
             order = np.lexsort((entry, n), axis=1)[:, :prefix]
-            yield pd.DataFrame({"entry": np.take_along_axis(entry, order, 1).ravel().view(np.int64), "doc": np.repeat(pdf["rep"].to_numpy(), prefix)})
+            mask = (np.uint64(1) << order.astype(np.uint64)).sum(1).astype(np.int64)
+            yield pd.DataFrame({"entry": np.take_along_axis(entry, order, 1).ravel().view(np.int64), "doc": np.repeat(pdf["rep"].to_numpy(), prefix), "coordinate": order.ravel().astype(np.int32), "mask": np.repeat(mask, prefix)})
 
     return run
 
@@ -144,23 +147,26 @@ def _cross(batches):
     def pairs(group):
         sig = np.frombuffer(b"".join(group["sig"]), "<u4").reshape(-1, COORDINATES)
         doc, label, side = group["doc"].to_numpy(), group["label"].to_numpy(), group["block"].to_numpy()
+        posted, coordinate = (group["mask"].to_numpy()[:, None] >> np.arange(POSTED)) & 1 == 1, group["coordinate"].iat[0]
         one = group["b1"].iat[0] == group["b2"].iat[0]
         left = np.arange(len(doc)) if one else np.flatnonzero(side == group["b1"].iat[0])
         right = left if one else np.flatnonzero(side != group["b1"].iat[0])
         for a in range(0, len(left), 64):
             rows = left[a : a + 64]
-            same = (sig[rows][:, None, :] == sig[right][None, :, :]).sum(2)
-            x, y = np.nonzero((same >= MATCHES) & (label[rows][:, None] != label[right][None, :]))
-            if len(x):
-                p, q = doc[rows[x]], doc[right[y]]
-                yield np.minimum(p, q), np.maximum(p, q)
+            equal = sig[rows][:, None, :] == sig[right][None, :, :]
+            x, y = np.nonzero((equal.sum(2) >= MATCHES) & (label[rows][:, None] != label[right][None, :]))
+            both = equal[x, y, :POSTED] & posted[rows[x]] & posted[right[y]]
+            p, q = doc[rows[x]], doc[right[y]]
+            new = (both.argmax(1) == coordinate) & ((p < q) | (not one))
+            if new.any():
+                yield np.minimum(p, q)[new], np.maximum(p, q)[new]
 
     def done(frame):
         keys = frame[["entry", "b1", "b2"]].to_numpy()
         cut = np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1
         found = [z for a, b in zip([0, *cut], [*cut, len(frame)]) for z in pairs(frame.iloc[a:b])]
         if found:
-            yield pd.DataFrame({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])}).drop_duplicates()
+            yield pd.DataFrame({"a": np.concatenate([f[0] for f in found]), "b": np.concatenate([f[1] for f in found])})
 
     for pdf in batches:
         pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
@@ -174,7 +180,7 @@ def _cross(batches):
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
-    spark = docs.sparkSession
+    spark = session(docs)
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     signed = keep(docs.mapInPandas(_sign, "doc_id long, n_shingles long, h1 long, h2 long, sig binary"), "signatures")
     with_set = signed.filter("n_shingles > 0 and doc_id is not null")
@@ -186,7 +192,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     often = often.toPandas().sort_values("entry", key=lambda s: s.to_numpy().view(np.uint64))
     hot = spark.sparkContext.broadcast((often["entry"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)))
 
-    postings = reps.select("rep", "sig").mapInPandas(_post(hot), "entry long, doc long")
+    postings = reps.select("rep", "sig").mapInPandas(_post(hot), "entry long, doc long, coordinate int, mask long")
     lists = postings.groupBy("entry").agg(F.min("doc").alias("leader"), F.count("*").alias("size")).filter("size > 1")
     lists = keep(postings.join(lists, "entry"), "lists")
 
@@ -197,15 +203,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     best = led.groupBy("doc").agg(F.max(F.struct("same", (-F.col("leader")).alias("back"))).alias("best"))
     found = components(_verified(docs, best.select((-F.col("best.back")).alias("a"), F.col("doc").alias("b"))))
 
-    labelled = lists.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("entry", "size", "doc", F.coalesce("component", "doc").alias("label"))
+    labelled = lists.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("entry", "size", "doc", "coordinate", "mask", F.coalesce("component", "doc").alias("label"))
     labelled = keep(labelled, "labelled")
     mixed = labelled.groupBy("entry").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("entry")
     blocks = F.ceil(F.col("size") / BLOCK)
     rows = labelled.join(mixed, "entry").join(sigs, "doc").withColumn("block", F.pmod(F.xxhash64("doc"), blocks).cast("long"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))))
-    rows = rows.select("entry", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "doc", "label", "sig")
+    rows = rows.select("entry", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "doc", "label", "coordinate", "mask", "sig")
     rows = rows.repartition("entry", "b1", "b2").sortWithinPartitions("entry", "b1", "b2")
-    more = _verified(docs, rows.mapInPandas(_cross, "a long, b long").distinct())
+    more = _verified(docs, rows.mapInPandas(_cross, "a long, b long"))
     label = found.select(F.col("node").alias("id"), "component")
     links = more.join(label.withColumnRenamed("id", "a").withColumnRenamed("component", "ca"), "a", "left").join(label.withColumnRenamed("id", "b").withColumnRenamed("component", "cb"), "b", "left")
     merged = components(links.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))

@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import keep
+from keyloom.llm.common import keep, session
 from keyloom.llm.tokens import encoder, tokenizer_json
 
 WINDOW = 2048
@@ -100,7 +100,7 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, en
 
     padded_length is the window, except for a sequence whose tokens are a power of two already.
     """
-    spark = docs.sparkSession
+    spark = session(docs)
     definition = spark.sparkContext.broadcast(tokenizer_json(tokenizer))
     schema = "part int, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, number long" + ", ids binary" * with_ids
     pieces = keep(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_pieces(definition, window, end_id, with_ids), schema), "pieces")

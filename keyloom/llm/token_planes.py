@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import new_path, shuffles
+from keyloom.llm.common import new_path, session, shuffles
 from keyloom.llm.tokens import encoder, tokenizer_json
 
 BLOCK_IDS = 1 << 15
@@ -131,7 +131,7 @@ def _segments(definition, end_id: int, bits: bool, segment: int, block: int):
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = 0, bits: bool = False, segment_ids: int = SEGMENT_IDS, block_ids: int = BLOCK_IDS) -> None:
     """Writes the ids of docs(doc_id, text) in ascending doc_id order as segments under path."""
-    spark = docs.sparkSession
+    spark = session(docs)
     definition = spark.sparkContext.broadcast(tokenizer_json(tokenizer))
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(shuffles(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     run = _segments(definition, end_id, bits, segment_ids, block_ids)

@@ -24,6 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from keyloom.llm.common import session
 from keyloom.llm.bytetext import slices, words
 
 SAMPLE, MAX_TERMS, LEAST_DOCS, LEAST_Z = 20_000, 512, 5, 5.0
@@ -190,7 +191,7 @@ class Scorer:
 def score(docs: DataFrame, model: dict, evidence: int = 0) -> DataFrame:
     """doc_id, score, predicted (and evidence: doc_ids of so many nearest examples) for each row of docs(doc_id, text)."""
     calibrated = Scorer(model).calibrate()
-    shipped = docs.sparkSession.sparkContext.broadcast((model, calibrated.x, calibrated.y))
+    shipped = session(docs).sparkContext.broadcast((model, calibrated.x, calibrated.y))
 
     def run(batches):
         model, x, y = shipped.value
