@@ -46,7 +46,7 @@ def neighbours(left: DataFrame, right: DataFrame) -> DataFrame:
 
     An equi-join of deletion keys, then verification; levenshtein alone would be a join of all with all.
     """
-    keys = lambda df, name: df.select("lang", F.col("word").alias(name), F.explode(X.one_deletions(F.col("word"))).alias("key"))
+    keys = lambda df, name: df.select("lang", F.col("word").alias(name)).withColumn("key", F.explode(X.one_deletions(F.col(name))))
     met = keys(left, "word").join(keys(right, "candidate"), ["lang", "key"]).filter("word != candidate").select("lang", "word", "candidate").distinct()
     return met.filter((F.levenshtein("word", "candidate", 1) >= 0) | X.is_adjacent_transposition(F.col("word"), F.col("candidate")))
 

@@ -277,7 +277,7 @@ def lane_quota_topk(spark, d):
 
 
 @query(f"""WITH {_TOK}, c AS (SELECT doc_id, pos, word, list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS ctx FROM tok), k AS (SELECT unnest(list_transform(range(1, least(5, len(ctx)) + 1), lambda n: array_to_string(ctx[len(ctx) - n + 1 : len(ctx)], ' '))) AS key, word FROM c)
-SELECT key, word, count(*) AS cnt FROM k GROUP BY ALL HAVING count(*) >= 3""")
+SELECT key, word, count(*) AS cnt FROM k WHERE key IS NOT NULL GROUP BY ALL HAVING count(*) >= 3""")
 def context_backoff_keys(spark, d):
     w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(-5, -1)
     keyed = _tokens(spark, d).withColumn("ctx", F.collect_list("word").over(w)).select(F.explode(journal.backoff_keys(F.col("ctx"))).alias("key"), "word")
