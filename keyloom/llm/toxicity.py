@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import session
+from keyloom.llm.common import keep, session
 from keyloom.llm.bytetext import slices, words
 
 SAMPLE, MAX_TERMS, LEAST_DOCS, LEAST_Z = 20_000, 512, 5, 5.0
@@ -137,6 +137,7 @@ def learn(docs: DataFrame, labels: DataFrame, training) -> dict:
     drawn = marked.orderBy(F.xxhash64("id"), "id").limit(SAMPLE)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(drawn), F.col("doc_id") == F.col("id"))
     rows = rows.groupBy(F.xxhash64("text").alias("same")).agg(F.min(F.struct("doc_id", "toxic", "text")).alias("x")).select("x.*").limit(SAMPLE)
+    rows = keep(rows, "labelled-texts")
     n, bad = rows.agg(F.count("*"), F.sum("toxic")).first()
     bad = bad or 0
     empty = {"vocabulary": np.empty(0, np.uint64), "idf": np.empty(0), "examples": [], "labels": np.empty(0, np.int64), "ids": np.empty(0, np.int64), "prior": bad / n if n else 0.0}
@@ -145,7 +146,7 @@ def learn(docs: DataFrame, labels: DataFrame, training) -> dict:
     p = bad / n
     words_ = rows.mapInPandas(_count, "word long, n long, bad long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).filter(F.col("n") >= LEAST_DOCS)
     z = F.abs(F.col("bad") - F.col("n") * p) / F.sqrt(F.col("n") * (p * (1 - p)) * (1 - F.col("n") / (n + 1)))
-    chosen = words_.withColumn("z", z).filter(F.col("z") >= LEAST_Z).orderBy(F.desc("z"), "word").limit(MAX_TERMS).toPandas()
+    chosen = words_.withColumn("z", z).filter((F.col("z") >= LEAST_Z) & (F.col("bad") / F.col("n") >= (1 + p) / 2)).orderBy(F.desc("z"), "word").limit(MAX_TERMS).toPandas()
     if not len(chosen):
         return empty
     vocabulary = np.sort(chosen["word"].to_numpy(np.int64).view(np.uint64))
