@@ -15,6 +15,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 _US, _RU = X.US.replace("'", "''"), X.RU.replace("'", "''")
+# DuckDB's distance counts bytes: letters beyond ASCII become single, otherwise unused ones.
+_WIDE, _BYTE = "àâäáãéèêëíîïìóôöòõúûüùçñßœæÿý", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123"[:29]
 _TOK = r"""
 t AS (SELECT doc_id, lang, regexp_split_to_array(lower(text), '[^\p{L}-]+') AS a FROM documents),
 u AS (SELECT doc_id, lang, list_filter(a, lambda x: length(x) BETWEEN 2 AND 24) AS a FROM t),
@@ -180,7 +182,7 @@ def vowel_confusion_candidates(spark, d):
     return candidates.class_substitutions(words.filter("cnt < 5"), words.filter("cnt >= 5"), classes)
 
 
-@query(f"WITH {_TOK}, b AS (SELECT * FROM voc WHERE cnt >= 20) SELECT a.lang, a.word, b.word AS candidate FROM b a JOIN b ON a.lang = b.lang AND a.word <> b.word AND abs(length(a.word) - length(b.word)) <= 1 AND damerau_levenshtein(a.word, b.word) = 1")
+@query(f"WITH {_TOK}, b AS (SELECT * FROM voc WHERE cnt >= 20) SELECT a.lang, a.word, b.word AS candidate FROM b a JOIN b ON a.lang = b.lang AND a.word <> b.word AND abs(length(a.word) - length(b.word)) <= 1 AND damerau_levenshtein(translate(a.word, '{_WIDE}', '{_BYTE}'), translate(b.word, '{_WIDE}', '{_BYTE}')) = 1")
 def deletion_key_neighbors(spark, d):
     words = _vocabulary(spark, d).filter("cnt >= 20")
     return candidates.neighbours(words, words)
