@@ -5,7 +5,7 @@ centred on its own projections; by virtual rehashing they widen by a constant fa
 the windows of at least 55 % of the projections (vectors outside of the windows are counted, which are fewer). These
 collide often enough and are verified: by a matrix product first, and those that it puts within 1e-9 of the k-th
 place by their exact inner product, summed in double precision in the order of components. For the largest inner product, vectors get one more
-component that brings all of them to the same length (queries get 0), which makes nearness in the projected space
+component that brings all of its block to the same length (queries get 0), which makes nearness in the projected space
 that of inner products.
 
 Every row is indexed. Queries and vectors are dealt into blocks of bounded size by hashes of their ids, and each
@@ -31,12 +31,13 @@ BLOCK, QUERIES = 8192, 2048
 
 
 class Index:
-    """Sorted projections of one block of vectors; longest is the largest length of any vector in the table."""
+    """Sorted projections of one block of vectors."""
 
-    def __init__(self, vectors: np.ndarray, longest: float, seed: int = 7):
+    def __init__(self, vectors: np.ndarray, seed: int = 7):
         self.vectors = vectors
         self.columns = np.ascontiguousarray(vectors.T)
-        fill = np.sqrt(np.maximum(longest**2 - (vectors**2).sum(1), 0))
+        squares = (vectors**2).sum(1)
+        fill = np.sqrt(squares.max() - squares)
         self.axes = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, PROJECTIONS))
         cast = np.column_stack([vectors, fill]) @ self.axes
         order = np.argsort(cast, axis=0, kind="stable")
@@ -80,14 +81,14 @@ class Index:
         return rows[best], total[best]
 
 
-def _search(k: int, share: float, longest: float):
+def _search(k: int, share: float):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         mine, asked = block[~block["is_query"]], block[block["is_query"]]
         out = {"query_id": [], "vec_id": [], "score": []}
         if len(mine) and len(asked):
             ids, names = mine["vec_id"].to_numpy(), asked["vec_id"].to_numpy()
             vectors, queries = np.array(mine["embedding"].tolist(), np.float64), np.array(asked["embedding"].tolist(), np.float64)
-            index = Index(vectors, longest)
+            index = Index(vectors)
             for a in range(0, len(queries), 256):
                 near = queries[a : a + 256] @ vectors.T
                 for j, rows in enumerate(index.candidates(queries[a : a + 256], share), a):
@@ -106,13 +107,12 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, share: float = SHARE) ->
     fine &= F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
     vectors = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>")).filter(F.col("vec_id").isNotNull() & F.coalesce(fine, F.lit(False)))
     vectors = vectors.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).withColumn("dim", F.size("embedding"))
-    squares = F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x)
-    n, queries, longest = vectors.agg(F.count("*"), F.count(F.when(is_query, 1)), F.sqrt(F.max(squares))).first()
+    n, queries = vectors.agg(F.count("*"), F.count(F.when(is_query, 1))).first()
     blocks, query_blocks = -(-n // BLOCK) or 1, -(-queries // QUERIES) or 1
     deal = lambda parts, salt: F.pmod(F.xxhash64(F.lit(salt), "vec_id"), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     held = vectors.select("dim", "vec_id", "embedding", F.lit(False).alias("is_query"), deal(blocks, 1).alias("block"), every(query_blocks).alias("query_block"))
     asked = vectors.filter(is_query).select("dim", "vec_id", "embedding", F.lit(True).alias("is_query"), every(blocks).alias("block"), deal(query_blocks, 2).alias("query_block"))
-    found = held.unionByName(asked).groupBy("dim", "block", "query_block").applyInPandas(_search(k, share, float(longest or 1.0)), "query_id long, vec_id long, score double")
+    found = held.unionByName(asked).groupBy("dim", "block", "query_block").applyInPandas(_search(k, share), "query_id long, vec_id long, score double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
