@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions import text as X
-from keyloom.operators import candidates, corpus, journal, ngram, rank
+from keyloom.operators import candidates, corpus, decide, journal, ngram, rank
+from keyloom.sources import text as sources
 from keyloom.streaming import batch
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -471,3 +472,101 @@ def edit_plan(spark, d):
     pairs = docs.select("doc_id", head("text").alias("x")).join(docs.select((F.col("doc_id") - 1).alias("doc_id"), head("text").alias("y")), "doc_id")
     e = pairs.select("doc_id", X.common_affix_edit(F.col("x"), F.col("y")).alias("e")).select("doc_id", "e.*")
     return e.select("doc_id", F.col("move_left").cast("long").alias("move_left"), F.col("backspaces").cast("long").alias("backspaces"), "insert")
+
+
+# Decisions and reports
+
+
+@query(rf"""WITH x AS (SELECT conv_id, turn, text FROM conversations), r AS (SELECT conv_id, turn, regexp_extract_all(text, '\s+|\S+') AS p, text FROM x),
+f AS (SELECT *, list_filter(range(1, len(p) + 1), lambda i: regexp_matches(p[i], '\S')) AS spots, list_transform(p, lambda x: CASE WHEN regexp_matches(x, '\S') THEN CASE WHEN length(regexp_replace(x, '[^а-яА-ЯёЁ]', '', 'g')) > length(regexp_replace(x, '[^A-Za-z]', '', 'g')) THEN translate(x, '{_RU}', '{_US}') ELSE translate(x, '{_US}', '{_RU}') END ELSE x END) AS q FROM r),
+m AS (SELECT conv_id, turn, 0 AS ord, 'keep' AS name, text AS candidate FROM f UNION ALL SELECT conv_id, turn, 1, 'flip_all', CASE WHEN length(regexp_replace(text, '[^а-яА-ЯёЁ]', '', 'g')) > length(regexp_replace(text, '[^A-Za-z]', '', 'g')) THEN translate(text, '{_RU}', '{_US}') ELSE translate(text, '{_US}', '{_RU}') END FROM f
+UNION ALL SELECT conv_id, turn, 2, 'flip_first', array_to_string(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN i = spots[1] THEN q[i] ELSE p[i] END), '') FROM f UNION ALL SELECT conv_id, turn, 3, 'flip_last', array_to_string(list_transform(range(1, len(p) + 1), lambda i: CASE WHEN i = spots[-1] THEN q[i] ELSE p[i] END), '') FROM f
+UNION ALL SELECT conv_id, turn, 4, 'flip_each', array_to_string(q, '') FROM f)
+SELECT conv_id * 1000 + turn AS id, ord, name, candidate FROM m QUALIFY row_number() OVER (PARTITION BY conv_id, turn, candidate ORDER BY ord) = 1""")
+def candidate_map(spark, d):
+    texts = read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), "text")
+    return decide.candidate_map(texts, "id", "text").select("id", "ord", "name", "candidate")
+
+
+@query(f"""WITH {_COMMON}, w AS (SELECT lang, word FROM voc WHERE cnt = 4), gw AS (SELECT DISTINCT lang, word, unnest(list_transform(range(1, length(word) + 2), lambda i: substr('^^' || word || '$', i, 3))) AS gram FROM w),
+gl AS (SELECT DISTINCT lang, word AS candidate, unnest(list_transform(range(1, length(word) + 2), lambda i: substr('^^' || word || '$', i, 3))) AS gram FROM lex), o AS (SELECT gw.lang, gw.word, candidate, count(*) AS overlap FROM gw JOIN gl USING (lang, gram) WHERE gw.word <> candidate GROUP BY ALL HAVING count(*) >= 3)
+SELECT lang, word, candidate, overlap, place FROM (SELECT *, row_number() OVER (PARTITION BY lang, word ORDER BY overlap DESC, candidate) AS place FROM o) WHERE place <= 4""")
+def surface_overlap_candidates(spark, d):
+    words = _vocabulary(spark, d)
+    found = decide.overlap_candidates(words.filter("cnt = 4"), words.filter("cnt >= 5"), 3, 4)
+    return found.select("lang", "word", "candidate", F.col("overlap").cast("long").alias("overlap"), F.col("place").cast("long").alias("place"))
+
+
+@query(f"""WITH {_TOK}, k AS (SELECT unnest([2, 3, 4]) AS length, word, cnt FROM voc), s AS (SELECT length, substr(word, 1, length) AS prefix, sum(cnt)::BIGINT AS support, count(*) AS words FROM k WHERE length(word) >= length GROUP BY ALL)
+SELECT length, prefix, support, words, place FROM (SELECT *, row_number() OVER (PARTITION BY length ORDER BY support DESC, prefix) AS place FROM s) WHERE place <= 20""")
+def hot_prefix_frontier(spark, d):
+    found = decide.prefix_frontier(_vocabulary(spark, d), [2, 3, 4], 20)
+    return found.select("length", "prefix", "support", "words", F.col("place").cast("long").alias("place"))
+
+
+@query("""WITH c AS (SELECT l_orderkey, l_linenumber AS priority, l_returnflag AS rule_id, l_partkey AS replacement, l_quantity AS score FROM lineitem),
+r AS (SELECT *, row_number() OVER w AS place, lead(score) OVER w AS nxt FROM c WINDOW w AS (PARTITION BY l_orderkey ORDER BY round(score, 6) DESC, priority, rule_id, replacement))
+SELECT l_orderkey, replacement, CASE WHEN nxt IS NULL THEN 'single' WHEN score - nxt >= 5 THEN 'strong' ELSE 'weak' END AS confidence FROM r WHERE place = 1""")
+def typing_confidence(spark, d):
+    rows = read(spark, d, "lineitem").select("l_orderkey", F.col("l_linenumber").alias("priority"), F.col("l_returnflag").alias("rule_id"), F.col("l_partkey").alias("replacement"), F.col("l_quantity").alias("score"))
+    return decide.confidence(rows, "l_orderkey", 5.0)
+
+
+@query("""WITH p AS (SELECT a.conv_id, a.turn, a.text AS x, b.text AS y FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)
+SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN y = '' THEN 'empty' END, CASE WHEN y = x THEN 'unchanged' END, CASE WHEN length(y) > length(x) * 2 + 8 THEN 'long_growth' END, CASE WHEN contains(y, chr(10)) THEN 'line_break' END, CASE WHEN contains(x, '://') AND NOT contains(y, '://') THEN 'technical_lost' END, CASE WHEN regexp_replace(x, '[^0-9]', '', 'g') <> regexp_replace(y, '[^0-9]', '', 'g') THEN 'digits_changed' END], lambda x: x IS NOT NULL), ',') AS reasons FROM p""")
+def unsafe_reasons(spark, d):
+    c = read(spark, d, "conversations")
+    pairs = c.select("conv_id", "turn", F.col("text").alias("x")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("y")), ["conv_id", "turn"])
+    return pairs.select("conv_id", "turn", F.array_join(decide.unsafe_reasons(F.col("y"), F.col("x")), ",").alias("reasons"))
+
+
+@query("""WITH r AS (SELECT l_orderkey, l_extendedprice AS score, (l_returnflag = 'R')::INT AS label, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(l_extendedprice, 6) DESC, l_linenumber) = 1 AS best FROM lineitem)
+SELECT count(DISTINCT l_orderkey) AS groups, count(*) FILTER (best AND label = 1) AS "right", count(*) FILTER (best AND label = 0) AS false_positive, count(*) FILTER (NOT best AND label = 1) AS false_negative, round(count(*) FILTER (best AND label = 1) / count(DISTINCT l_orderkey), 6) AS accuracy FROM r""")
+def group_argmax_eval(spark, d):
+    rows = read(spark, d, "lineitem").withColumn("label", (F.col("l_returnflag") == "R").cast("int"))
+    return decide.group_argmax(rows, "l_orderkey", "l_extendedprice", "label", "l_linenumber")
+
+
+@query("SELECT event_id, event_type FROM (SELECT *, sha256(event_id::VARCHAR) AS h FROM events ORDER BY h LIMIT 500)")
+def hashed_sample(spark, d):
+    return decide.hashed_sample(read(spark, d, "events"), F.col("event_id"), 500).select("event_id", "event_type")
+
+
+@query("WITH c AS (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS cell FROM embeddings) SELECT label, cell, round(avg(v::DOUBLE), 6) AS mean, count(*) AS n FROM c GROUP BY ALL")
+def phase_centers(spark, d):
+    found = decide.centers(read(spark, d, "embeddings"), "label", "embedding")
+    return found.select("label", F.col("cell").cast("long").alias("cell"), F.round("mean", 6).alias("mean"), "n")
+
+
+@query("""WITH j AS (SELECT event_type, json_extract_string(props, '$.k')::BIGINT AS k, value FROM events) SELECT event_type, CASE WHEN k <= 2 THEN '0-2' WHEN k = 3 THEN '3' WHEN k <= 7 THEN '4-7' ELSE '8+' END AS depth, count(*) AS n, round(avg(value), 6) AS mean, min(k) AS least FROM j GROUP BY ALL""")
+def depth_report(spark, d):
+    rows = read(spark, d, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    return rows.groupBy("event_type", X.depth_bucket(F.col("k")).alias("depth")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean"), F.min("k").alias("least"))
+
+
+@query("SELECT event_id, user_id, value FROM events ORDER BY ts DESC, event_id DESC LIMIT 200")
+def journal_tail(spark, d):
+    return journal.kept_tail(read(spark, d, "events"), 200, "ts", "event_id").select("event_id", "user_id", "value")
+
+
+@query(r"""WITH p AS (SELECT doc_id, trim(f, ' ') AS fragment FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[\n\r.!?;]')) AS f FROM documents)),
+t AS (SELECT doc_id, fragment, len(list_filter(regexp_split_to_array(fragment, '[^\p{L}-]+'), lambda x: x <> '')) AS n FROM p WHERE fragment <> '')
+SELECT doc_id, count(*) AS fragments, count(*) FILTER (strlen(fragment) > 400) AS oversized, count(*) FILTER (strlen(fragment) <= 400 AND n < 3) AS short FROM t GROUP BY doc_id""")
+def fragment_scan(spark, d):
+    found = sources.fragments(read(spark, d, "documents"), 3, 400)
+    return found.groupBy("doc_id").agg(F.count("*").alias("fragments"), F.count_if(F.col("reject") == "oversized").alias("oversized"), F.count_if(F.col("reject") == "tokens").alias("short"))
+
+
+@query("""WITH g AS (SELECT group_id, min(original) AS original, max(CASE WHEN label = 1 THEN candidate END) AS expected FROM (SELECT user_id AS group_id, event_type AS original, event_id::VARCHAR AS candidate, (event_type = 'purchase')::INT AS label FROM events) GROUP BY group_id) SELECT * FROM g WHERE expected IS NOT NULL""")
+def grouped_cases(spark, d):
+    rows = read(spark, d, "events").select(F.col("user_id").alias("group_id"), F.col("event_type").alias("original"), F.col("event_id").cast("string").alias("candidate"), (F.col("event_type") == "purchase").cast("int").alias("label"))
+    return sources.grouped_cases(rows)
+
+
+@query(f"""WITH {_TOK}, l AS (SELECT word, bool_or(lang = 'en') AS en, bool_or(lang = 'de') AS ru, sum(CASE WHEN lang = 'en' THEN cnt ELSE 0 END) AS a, sum(CASE WHEN lang = 'de' THEN cnt ELSE 0 END) AS b FROM voc GROUP BY word)
+SELECT word, CASE WHEN en AND NOT ru THEN 'english' WHEN ru AND NOT en THEN 'russian' WHEN a = 0 AND b = 0 THEN 'ambiguous' WHEN a > b THEN 'english' ELSE 'russian' END AS layout FROM l""")
+def layout_decision(spark, d):
+    # Two of the corpus languages stand in for the two layouts' lexicons.
+    side = lambda v: F.sum(F.when(F.col("lang") == v, F.col("cnt")).otherwise(0))
+    counts = _vocabulary(spark, d).groupBy("word").agg(F.bool_or(F.col("lang") == "en").alias("en"), F.bool_or(F.col("lang") == "de").alias("ru"), side("en").alias("a"), side("de").alias("b"))
+    return counts.select("word", decide.layout_decision(F.col("a"), F.col("b"), F.col("en"), F.col("ru")).alias("layout"))
