@@ -10,11 +10,12 @@ words has none and is linked with nothing). Documents are linked when 100 * |A a
    first 21 entries of any common order; so only this prefix is posted, entries that more than one in 10,000 documents
    hold last. Common passages are skipped so; their collisions are counted on the whole signatures of documents that
    meet elsewhere. Candidates are pairs with 52 of all 96 collisions (at similarity 0.75 fewer have a probability
-   of 3e-6, at 0.4 as many one of 0.4 %).
+   of 3e-6); where lists are merged, documents get longer signatures, 512 values of 8 bits, and candidates are pairs
+   with 336 collisions there (probability of fewer at 0.75: 3e-7; pairs below 0.6 hardly pass).
 3. Long lists aren't expanded into pairs. First each document meets only the list's smallest; its best leader is
    verified on full sets, and the links are contracted. Then only lists that still hold several components are
    merged, in blocks of bounded size: collisions are counted block against block, and pairs from different
-   components at 52 collisions or more are verified on full sets. A pair is
+   components at 336 of 512 collisions or more are verified on full sets. A pair is
    counted in the list of its first common posted coordinate alone. Every candidate is thus either verified, or
    within one component already, which is all that components need.
 
@@ -36,6 +37,7 @@ from keyloom.llm.common import keep, session, sieve, sifted
 from keyloom.llm.components import components
 
 COORDINATES, MATCHES, POSTED, POSTED_MATCHES, SHINGLE = 96, 52, 32, 12, 5
+LONG, LONG_MATCHES = 512, 336
 #: Share of documents from which an entry is posted last; at most POSTED / HOT_SHARE entries.
 HOT_SHARE = 1e-4
 BLOCK = 512
@@ -76,6 +78,22 @@ def _sign(batches):
             yield pd.DataFrame({"doc_id": pdf["doc_id"].array[i : i + len(n)], "n_shingles": n, "h1": sums[0].view(np.int64), "h2": sums[1].view(np.int64), "sig": [x.tobytes() for x in sig]})
 
 
+def _extend(batches):
+    """Longer signatures of 8-bit values."""
+    for pdf in batches:
+        for i, flat, n in shingle_sets(pdf["text"].tolist()):
+            full = np.flatnonzero(n > 0)
+            start = (np.cumsum(n) - n)[full]
+            long = np.zeros((len(full), LONG), np.uint8)
+            if len(start):
+                for k in range(LONG):
+                    v = flat * np.uint64((0x9E3779B97F4A7C15 * (4 * k + 3) + 0x632BE59BD9B4E019 * k * 2) % (1 << 64) | 1)
+                    v ^= v >> np.uint64(32)
+                    v *= np.uint64(0xA0761D6478BD642F)
+                    long[:, k] = (np.minimum.reduceat(v, start) >> np.uint64(40)).astype(np.uint8)
+            yield pd.DataFrame({"doc": pdf["doc_id"].array.take(i + full), "long": [x.tobytes() for x in long]})
+
+
 def _entries(sigs) -> np.ndarray:
     sig = np.frombuffer(b"".join(sigs), "<u4").reshape(-1, COORDINATES)[:, :POSTED].astype(np.uint64)
     return mix64(sig | (np.arange(POSTED, dtype=np.uint64) << np.uint64(32)))
@@ -135,31 +153,33 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar. Only texts that pairs name are shuffled."""
     pairs = keep(pairs, "pairs")
-    texts = sifted(docs, sieve(pairs.select(F.explode(F.array("a", "b")).alias("id"))), "doc_id").select("doc_id", "text")
+    texts = sifted(docs, sieve(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))), "doc_id").select("doc_id", "text")
     a, b = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(a, "a").join(b, "b").filter(_similar("text_a", "text_b")).select("a", "b")
 
 
 def _cross(batches):
-    """Pairs of different components at MATCHES collisions or more, from sorted blocks of a list."""
+    """Pairs of different components at LONG_MATCHES collisions or more, from sorted blocks of a list."""
     rest = None
 
     def pairs(group):
-        sig = np.frombuffer(b"".join(group["sig"]), "<u4").reshape(-1, COORDINATES)
+        sig = np.frombuffer(b"".join(group["sig"]), "<u4").reshape(-1, POSTED)
+        long = np.frombuffer(b"".join(group["long"]), np.uint8).reshape(-1, LONG)
         doc, label, side = group["doc"].to_numpy(), group["label"].to_numpy(), group["block"].to_numpy()
         posted, coordinate = (group["mask"].to_numpy()[:, None] >> np.arange(POSTED)) & 1 == 1, group["coordinate"].iat[0]
         one = group["b1"].iat[0] == group["b2"].iat[0]
         left = np.arange(len(doc)) if one else np.flatnonzero(side == group["b1"].iat[0])
         right = left if one else np.flatnonzero(side != group["b1"].iat[0])
+        # Two documents collide in this list's coordinate; the pair counts here if in none of the posted ones before.
+        first, second = (np.where(posted, sig, np.uint32(gap))[:, :coordinate] for gap in (0xFFFFFFFE, 0xFFFFFFFF))
         for a in range(0, len(left), 64):
             rows = left[a : a + 64]
-            equal = sig[rows][:, None, :] == sig[right][None, :, :]
-            x, y = np.nonzero((equal.sum(2) >= MATCHES) & (label[rows][:, None] != label[right][None, :]))
-            both = equal[x, y, :POSTED] & posted[rows[x]] & posted[right[y]]
-            p, q = doc[rows[x]], doc[right[y]]
-            new = (both.argmax(1) == coordinate) & ((p < q) | (not one))
-            if new.any():
-                yield np.minimum(p, q)[new], np.maximum(p, q)[new]
+            new = (label[rows][:, None] != label[right][None, :]) & ~(first[rows][:, None, :] == second[right][None, :, :]).any(2)
+            x, y = np.nonzero(new & (doc[rows][:, None] < doc[right][None, :]) if one else new)
+            near = np.concatenate([(long[rows[x[b : b + 4096]]] == long[right[y[b : b + 4096]]]).sum(1) >= LONG_MATCHES for b in range(0, len(x), 4096)] or [np.zeros(0, bool)])
+            if near.any():
+                p, q = doc[rows[x[near]]], doc[right[y[near]]]
+                yield np.minimum(p, q), np.maximum(p, q)
 
     def done(frame):
         keys = frame[["entry", "b1", "b2"]].to_numpy()
@@ -207,9 +227,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     labelled = keep(labelled, "labelled")
     mixed = labelled.groupBy("entry").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("entry")
     blocks = F.ceil(F.col("size") / BLOCK)
-    rows = labelled.join(mixed, "entry").join(sigs, "doc").withColumn("block", F.pmod(F.xxhash64("doc"), blocks).cast("long"))
+    rows = keep(labelled.join(mixed, "entry"), "mixed")
+    long = sifted(docs, sieve(rows.select("doc")), "doc_id").mapInPandas(_extend, "doc long, long binary")
+    long = keep(sigs.select("doc", F.substring("sig", 1, 4 * POSTED).alias("sig")).join(long, "doc"), "long-signatures")
+    rows = rows.join(long, "doc").withColumn("block", F.pmod(F.xxhash64("doc"), blocks).cast("long"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))))
-    rows = rows.select("entry", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "doc", "label", "coordinate", "mask", "sig")
+    rows = rows.select("entry", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "doc", "label", "coordinate", "mask", "sig", "long")
     rows = rows.repartition("entry", "b1", "b2").sortWithinPartitions("entry", "b1", "b2")
     more = _verified(docs, rows.mapInPandas(_cross, "a long, b long"))
     label = found.select(F.col("node").alias("id"), "component")
