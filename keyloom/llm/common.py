@@ -77,7 +77,7 @@ def shuffles(spark: SparkSession) -> int:
 
 def in_group(column: str, remainder: int = 2, of: int = 4):
     """Whether crc32 of the id as text leaves this remainder."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % of == remainder
+    return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % of == remainder, F.lit(False))
 
 
 #: Bits of a sieve; as rows of 64 bits it has at most 131,072 (2 MB), whatever it is built from.
