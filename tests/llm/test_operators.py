@@ -115,7 +115,7 @@ def test_lines_equal_brute_force(spark):
     norm = {(i, k): line for i, t in rows for k, line in enumerate(t.split("\n"))}
     meet = lambda a, b: bin((a.sim ^ b.sim) & (1 << 64) - 1).count('1') <= 8 and _blocks(a, b)
     _blocks = lambda a, b: (a.sim ^ b.sim) & 0xFFFFFFFF == 0 or ((a.sim ^ b.sim) >> 32) & 0xFFFFFFFF == 0
-    links = [(p, q) for p, q in itertools.combinations(sorted(seen), 2) if meet(seen[p], seen[q]) and osa_free(norm[p], norm[q]) <= 0.2 * max(len(norm[p]), len(norm[q])) + 1e-7]
+    links = [(p, q) for p, q in itertools.combinations(sorted(seen), 2) if meet(seen[p], seen[q]) and osa_free(norm[p].split(" "), norm[q].split(" ")) <= 0.2 * max(norm[p].count(" "), norm[q].count(" ")) + 0.2 + 1e-7]
     low = components(sorted(seen), links)
     want = {i: "\n".join(line for k, line in enumerate(t.split("\n")) if low[i, k] == (i, k)) for i, t in rows}
     assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()} == want
