@@ -570,3 +570,63 @@ def layout_decision(spark, d):
     side = lambda v: F.sum(F.when(F.col("lang") == v, F.col("cnt")).otherwise(0))
     counts = _vocabulary(spark, d).groupBy("word").agg(F.bool_or(F.col("lang") == "en").alias("en"), F.bool_or(F.col("lang") == "de").alias("ru"), side("en").alias("a"), side("de").alias("b"))
     return counts.select("word", decide.layout_decision(F.col("a"), F.col("b"), F.col("en"), F.col("ru")).alias("layout"))
+
+
+@query(r"""SELECT DISTINCT token, regexp_extract(token, '^([^\p{L}\p{N}]*)', 1) AS lead, CASE WHEN regexp_matches(token, '[\p{L}\p{N}]') THEN regexp_extract(token, '([^\p{L}\p{N}]*)$', 1) ELSE '' END AS trail FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS token FROM documents) WHERE token <> ''""")
+def edge_punctuation(spark, d):
+    tokens = read(spark, d, "documents").select(F.explode(F.split("text", r"\s+")).alias("token")).filter("token != ''").distinct()
+    parts = tokens.select("token", X.edge_punctuation(F.col("token")).alias("p"))
+    return parts.select("token", "p.lead", "p.trail")
+
+
+@query(f"WITH {_TOK}, s AS (SELECT word, unnest(range(1, length(word))) AS i FROM (SELECT DISTINCT word FROM voc WHERE cnt >= 5)) SELECT word, substr(word, 1, i) AS \"left\", substr(word, i + 1) AS \"right\" FROM s")
+def word_splits(spark, d):
+    words = _common(spark, d).select("word").distinct()
+    return words.select("word", F.explode(X.splits(F.col("word"))).alias("s")).select("word", "s.left", "s.right")
+
+
+@query(r"""SELECT doc_id, length(text) AS chars, round(CASE WHEN length(text) > 0 THEN length(regexp_replace(text, '[^\p{L}]', '', 'g')) / length(text) ELSE 0 END, 6) AS alpha_share, len(regexp_extract_all(text, '\s+|\S+')) AS segments FROM documents""")
+def text_quality(spark, d):
+    text = F.col("text")
+    return read(spark, d, "documents").select("doc_id", F.length(text).cast("long").alias("chars"), F.round(X.alpha_share(text), 6).alias("alpha_share"), F.size(X.segments(text)).cast("long").alias("segments"))
+
+
+@query("""WITH p AS (SELECT a.conv_id, a.turn, regexp_split_to_array(lower(a.text), '\\s+') AS x0, regexp_split_to_array(lower(b.text), '\\s+') AS y0 FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1),
+q AS (SELECT conv_id, turn, list_filter(list_transform(x0, lambda w: regexp_replace(w, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')), lambda w: w <> '') AS x, list_filter(list_transform(y0, lambda w: regexp_replace(w, '^[^\\p{L}\\p{N}]+|[^\\p{L}\\p{N}]+$', '', 'g')), lambda w: w <> '') AS y FROM p)
+SELECT conv_id, turn, CASE WHEN len(x) <> len(y) THEN greatest(len(x), len(y)) ELSE len(list_filter(range(1, len(x) + 1), lambda i: x[i] <> y[i])) END AS changed FROM q""")
+def changed_token_count(spark, d):
+    c = read(spark, d, "conversations")
+    pairs = c.select("conv_id", "turn", F.col("text").alias("x")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("y")), ["conv_id", "turn"])
+    return pairs.select("conv_id", "turn", X.changed_words(F.col("x"), F.col("y")).cast("long").alias("changed"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(l_discount * 100, 6) DESC, l_linenumber % 3, l_returnflag, l_partkey * 10 + l_linenumber) AS place FROM lineitem""")
+def typing_candidate_order(spark, d):
+    rows = read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_discount") * 100).alias("score"), (F.col("l_linenumber") % 3).alias("priority"), F.col("l_returnflag").alias("rule_id"), (F.col("l_partkey") * 10 + F.col("l_linenumber")).alias("replacement"))
+    return decide.ranked(rows, "l_orderkey").select("l_orderkey", "l_linenumber", F.col("place").cast("long").alias("place"))
+
+
+@query("""SELECT l_orderkey, l_linenumber, round(least(greatest(l_discount * 10 * 0.55 + l_tax + 0.10 * l_quantity / 50 - CASE WHEN l_returnflag = 'R' THEN 0.5 ELSE 0 END, -1), 1), 6) AS posterior FROM lineitem""")
+def candidate_posterior(spark, d):
+    risk = F.when(F.col("l_returnflag") == "R", 0.5).otherwise(0.0)
+    value = decide.posterior(F.col("l_discount") * 10, F.col("l_tax"), F.col("l_quantity") / 50, risk)
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.round(value, 6).alias("posterior"))
+
+
+@query(f"WITH {_TOK} SELECT doc_id, pos, word, list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)[1] AS oldest, count(*) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS n FROM tok")
+def completed_tail_context(spark, d):
+    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(-24, -1)
+    return _tokens(spark, d).select("doc_id", F.col("pos").cast("long").alias("pos"), "word", F.first("word").over(w).alias("oldest"), F.count("*").over(w).alias("n"))
+
+
+@query("""WITH m AS (SELECT event_type AS map_name, user_id AS key, count(*) AS cnt FROM events GROUP BY ALL), k AS (SELECT key, count(*) AS maps FROM m GROUP BY key)
+SELECT map_name, count(*) AS keys, sum(cnt)::BIGINT AS total, count(*) FILTER (maps > 1) AS shared FROM m JOIN k USING (key) GROUP BY map_name""")
+def usage_state_summary(spark, d):
+    counts = read(spark, d, "events").groupBy(F.col("event_type").alias("map_name"), F.col("user_id").alias("key")).agg(F.count("*").alias("cnt"))
+    maps = F.count("*").over(Window.partitionBy("key"))
+    return counts.withColumn("maps", maps).groupBy("map_name").agg(F.count("*").alias("keys"), F.sum("cnt").alias("total"), F.count_if(F.col("maps") > 1).alias("shared"))
+
+
+@query("""SELECT user_id, ('0x' || substr(sha256(user_id::VARCHAR), 1, 2))::BIGINT < 51 AS held_out, count(*) AS n FROM events GROUP BY ALL""")
+def group_split(spark, d):
+    return read(spark, d, "events").groupBy("user_id", corpus.held_out(F.col("user_id").cast("string"), 51).alias("held_out")).agg(F.count("*").alias("n"))
