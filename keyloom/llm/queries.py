@@ -68,6 +68,21 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_minhash_dedup, op2_chat_format, op3_line_dedup, op4_token_planes, op5_language_id, op6_warc_revisit, op7_min_slack_packing, op8_collision_ann, op9_toxicity, op10_decontaminate)}
 ORACLES: dict[str, str] = {
+    "op1_minhash_dedup": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS a FROM documents
+        ), s AS (
+            SELECT doc_id, CASE WHEN len(a) = 0 THEN [] WHEN len(a) < 5 THEN [array_to_string(a, ' ')]
+                ELSE list_distinct(list_transform(range(1, len(a) - 3), lambda i: array_to_string(a[i : i + 4], ' '))) END AS sh FROM w
+        ), x AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS h FROM s
+        ), l AS (
+            SELECT a.doc_id AS i, b.doc_id AS j FROM x a JOIN x b ON a.h = b.h AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+        ), r AS (
+            SELECT doc_id, doc_id AS reached FROM s UNION SELECT r.doc_id, l.j FROM r JOIN l ON l.i = r.reached
+        )
+        SELECT s.doc_id, len(sh)::BIGINT AS n_shingles, min(reached) AS component_id, s.doc_id = min(reached) AS kept
+        FROM s JOIN r ON r.doc_id = s.doc_id GROUP BY s.doc_id, sh""",
     "op2_chat_format": """
         WITH src AS (
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
