@@ -22,10 +22,10 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session(df: DataFrame) -> SparkSession:
-    """df's session, with Arrow batches of at most 1000 rows (the default is 10,000): texts are large, workers small."""
+    """df's session, with Arrow batches of at most 500 rows (the default is 10,000): texts are large, workers small."""
     spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > 1000:
-        spark.conf.set(key, "1000")
+    if int(spark.conf.get(key)) > 500:
+        spark.conf.set(key, "500")
     return spark
 
 
