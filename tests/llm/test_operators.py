@@ -270,6 +270,19 @@ def test_nearest(spark):
     assert ann.nearest(frame(spark, [], "vec_id long, embedding array<float>"), F.col("vec_id") == 0).collect() == []
 
 
+@pytest.mark.parametrize("lengths", ["equal", "lognormal", "outlier"])
+def test_nearest_at_any_lengths(lengths):
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((2000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x *= {"equal": np.ones((2000, 1)), "lognormal": rng.lognormal(0, 1, (2000, 1)), "outlier": np.where(np.arange(2000) == 7, 3.0, 1.0)[:, None]}[lengths]
+    rows = pd.DataFrame({"vec_id": np.arange(2000), "embedding": list(x), "is_query": False})
+    got = ann._search(20, ann.SHARE)(pd.concat([rows, rows[::40].assign(is_query=True)])).groupby("query_id")["vec_id"].agg(set)
+    every = x @ x.T
+    np.fill_diagonal(every, -np.inf)
+    assert {q: set(np.argsort(-every[q])[:20].tolist()) for q in range(0, 2000, 40)} == got.to_dict()
+
+
 # Toxicity
 
 
