@@ -7,8 +7,10 @@ can have if it holds 75 % of the item's five-word shingles: its full score less
 may then be missing. All passages at or above it are retrieved: words whose impacts together stay below the threshold
 can't reach it alone, so candidates come from the others' postings only, first in blocks of items by block maxima, then
 by item; what may still reach the threshold gets its full score. Then overlap is verified: 75 % of the item's distinct five-word
-shingles lie in the passage, and half of those of its question (all sentences but the last) and of its answer (the last;
-of a single sentence, its last third).
+shingles lie in the passage, and half of those that begin in its question (all sentences but the last) and of those that end in
+its answer (the last; of a single sentence, its last third). One changed word takes up to five shingles with it, so a
+part of fewer than ten is compared word by word instead: half of its words lie, in their order, in the stretch of the
+passage where the item's other shingles place the part.
 
 The index is broadcast in shards of at most SHARD items; a larger benchmark takes several scans. Nothing is shuffled.
 
@@ -53,19 +55,47 @@ def _shingles(h: np.ndarray) -> np.ndarray:
     return s
 
 
+def _common(a: np.ndarray, b: np.ndarray) -> int:
+    """The length of the longest common subsequence; a row of its table is the bits of an integer."""
+    at: dict[int, int] = {}
+    for i, x in enumerate(a.tolist()):
+        at[x] = at.get(x, 0) | 1 << i
+    full = row = (1 << len(a)) - 1
+    for y in b.tolist():
+        both = row & at.get(y, 0)
+        row = (row + both | row - both) & full
+    return len(a) - row.bit_count()
+
+
+def _in_place(item: np.ndarray, a: int, b: int, passage: np.ndarray, held: np.ndarray) -> float:
+    """The share of the item's words a to b that lie, in order, where its shingles place them in the passage (held: its shingles)."""
+    places = np.argsort(held, kind="stable")
+    own = _shingles(item)
+    at = np.searchsorted(held[places], own)
+    some = np.flatnonzero((at < len(held)) & (held[places][np.minimum(at, len(held) - 1)] == own))
+    outer = some[(some < a) | (some + SHINGLE > b)]
+    some = outer if len(outer) else some
+    shift = places[at[some]] - some
+    # The shingles next to the part; changed words move it by a few places.
+    near = shift[np.argsort(np.maximum(np.maximum(a - some, some + SHINGLE - b), 0), kind="stable")[:SHINGLE]]
+    low, high = max(a + int(near.min()) - SHINGLE, 0), max(b + int(near.max()) + SHINGLE, 0)
+    return _common(item[a:b], passage[low:high]) / (b - a)
+
+
 class Index:
     def __init__(self, items: list[tuple[int, str]]):
         kept = [(i, t, h) for i, t in sorted(items) if len(h := _hashes(t)) >= SHINGLE]
         self.ids = np.array([i for i, _, _ in kept], np.int64)
-        self.shingles, self.question, self.answer = [], [], []
+        self.shingles, self.question, self.answer, self.parts = [], [], [], []
         for _, t, h in kept:
-            cuts = [m.end() for m in re.finditer(r"[.!?]+\s+", t.rstrip())]
-            split = len(_hashes(t[: cuts[-1]])) if cuts else len(h) - max(1, len(h) // 3)
+            cuts = [len(_hashes(t[: m.end()])) for m in re.finditer(r"[.!?]+\s+", t.rstrip())]
+            split = max((c for c in cuts if 0 < c < len(h)), default=len(h) - max(1, len(h) // 3))
             s = _shingles(h)
             self.shingles.append(np.unique(s))
             # Shingles that begin in the question, and those that end in the answer.
-            self.question.append(np.unique(s[: max(split - SHINGLE + 1, 0)]))
-            self.answer.append(np.unique(s[max(split, 0) :]))
+            self.question.append(np.unique(s[:split]))
+            self.answer.append(np.unique(s[max(split - SHINGLE + 1, 0) :]))
+            self.parts.append((h, split))
         lengths = np.array([len(h) for _, _, h in kept], float)
         self.longest = int(lengths.max()) if len(kept) else 0
         item = np.repeat(np.arange(len(kept)), lengths.astype(int))
@@ -155,7 +185,13 @@ class Index:
         if score < self.threshold[item] - 1e-9:
             return None
         held = _shingles(h)
-        share = [float(np.isin(s, held).mean()) if len(s) else 1.0 for s in (self.shingles[item], self.question[item], self.answer[item])]
+        share = [float(np.isin(s, held).mean()) for s in (self.shingles[item], self.question[item], self.answer[item])]
+        if share[0] < OVERLAP - 1e-12:
+            return None
+        words_, split = self.parts[item]
+        for k, part, a, b in ((1, self.question[item], 0, split), (2, self.answer[item], split, len(words_))):
+            if len(part) < 2 * SHINGLE:
+                share[k] = _in_place(words_, a, b, h, held)
         return (score, *share) if share[0] >= OVERLAP - 1e-12 and min(share[1:]) >= PART_OVERLAP else None
 
 

@@ -353,3 +353,16 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(frame(spark, []), frame(spark, items, "item_id long, text string")).collect() == []
     assert decontaminate.contaminated(frame(spark, rows), frame(spark, [], "item_id long, text string")).collect() == []
     assert pd.DataFrame(got.collect(), columns=got.columns).score.ge(0).all()
+
+
+def test_one_edit_voids_no_part_and_short_answers_count():
+    rng = random.Random(11)
+    held = lambda item, text: decontaminate.Index([(1, item)]).verify(decontaminate._hashes(text), 0)
+    for n in (2, 5, 7, 9, 12):
+        question, answer = prose(rng, 40, 4000), prose(rng, n, 4000).split(" ")
+        item = f"{question}. {' '.join(answer)}."
+        for k in range(n):
+            assert held(item, f"{prose(rng, 9)} {question}. {' '.join(['other' if i == k else w for i, w in enumerate(answer)])}. {prose(rng, 9)}"), (n, k)
+        # Another answer, even if the words of the right one come elsewhere in the passage.
+        assert n > 9 or held(item, f"{question}. {prose(rng, n, 4000).replace('w', 'v')} {prose(rng, 30)} {' '.join(answer)}") is None
+    assert held(f"{question}. Yes.", f"{question}. No. {prose(rng, 30)} yes") is None and held(f"{question}. Yes.", f"{question} yes")[3] == 1.0
