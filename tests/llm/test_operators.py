@@ -122,6 +122,22 @@ def test_lines_equal_brute_force(spark):
     assert line_dedup.dedup_lines(frame(spark, [])).collect() == []
 
 
+def test_lines_are_linked_wherever_their_bits_differ(spark, monkeypatch):
+    """Links of lines by the rule alone, over every pair; with and without blocks that are split."""
+    rng = random.Random(21)
+    base = [wordy(rng, rng.randrange(8, 50), 300) for _ in range(25)]
+    rows = [(i, "\n".join(edited(rng, rng.choice(base), rng.randrange(1, 4)) for _ in range(3))) for i in range(60)]
+    df = frame(spark, rows)
+    seen = {(r.doc_id, r.line_no): r for r in line_dedup._occurrences(df).collect()}
+    norm = {(i, k): line.split(" ") for i, t in rows for k, line in enumerate(t.split("\n"))}
+    near = lambda a, b: bin((a.sim ^ b.sim) & (1 << 64) - 1).count("1") <= 8
+    low = components(sorted(seen), [(p, q) for p, q in itertools.combinations(sorted(seen), 2) if near(seen[p], seen[q]) and osa_free(norm[p], norm[q]) <= 0.2 * max(len(norm[p]), len(norm[q])) + 1e-7])
+    want = {i: "\n".join(line for k, line in enumerate(t.split("\n")) if low[i, k] == (i, k)) for i, t in rows}
+    for hot in (line_dedup.HOT, 3):
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df, halves=False).collect()} == want
+
+
 # Tokens
 
 
