@@ -1,7 +1,9 @@
-"""Edit distances that Spark lacks, as Arrow-batched functions over distinct pairs."""
+"""Edit distances and whole-text edits that Spark lacks, as Arrow-batched functions over distinct pairs."""
 
 from __future__ import annotations
 
+import os
+
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,3 +46,21 @@ def osa_distance(a, b):
 
 def lcs_length(a, b):
     return _pairs(lcs)(a, b)
+
+
+def _edit(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    rows = []
+    for x, y in zip(a, b):
+        if x is None or y is None:
+            rows.append((None, None, None))
+            continue
+        lead = len(os.path.commonprefix((x, y)))
+        tail = len(os.path.commonprefix((x[lead:][::-1], y[lead:][::-1])))
+        rows.append((tail, len(x) - lead - tail, y[lead : len(y) - tail]))
+    return pd.DataFrame(rows, columns=["move_left", "backspaces", "insert"]).astype({"move_left": "Int64", "backspaces": "Int64", "insert": object})
+
+
+def whole_text_edit(a, b):
+    """X.common_affix_edit in time by the texts' lengths; nulls if either is null."""
+    kind = "struct<move_left:long,backspaces:long,insert:string>"
+    return F.pandas_udf(_edit, kind)(a, b)

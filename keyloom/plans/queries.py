@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyloom.functions import text as X
+from keyloom.functions import distance, text as X
 from keyloom.operators import candidates, corpus, decide, journal, ngram, rank
 from keyloom.sources import text as sources
 from keyloom.streaming import batch
@@ -474,6 +474,14 @@ def edit_plan(spark, d):
     return e.select("doc_id", F.col("move_left").cast("long").alias("move_left"), F.col("backspaces").cast("long").alias("backspaces"), "insert")
 
 
+@query()
+def edit_plan_whole(spark, d):
+    """edit_plan over whole texts; the tests hold it against brute force."""
+    docs = read(spark, d, "documents")
+    pairs = docs.select("doc_id", F.col("text").alias("x")).join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("y")), "doc_id")
+    return pairs.select("doc_id", distance.whole_text_edit("x", "y").alias("e")).select("doc_id", "e.*")
+
+
 # Decisions and reports
 
 

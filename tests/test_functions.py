@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from keyloom.functions import distance, text as X
+from keyloom.plans import queries
 
 
 def one(spark, value, f, *more):
@@ -88,3 +89,19 @@ def test_distance(spark, a, b, want):
 
 def test_subsequence(spark):
     assert one(spark, "abcde", distance.lcs_length, "xaxcxe") == 3 and distance.lcs("", "a") == 0
+
+
+def test_edit_plan_of_whole_texts(spark, tmp_path):
+    long = "ab" * 4000
+    texts = [long, long[:5000] + "X" + long[5000:], long + "end", "", "aa", "aaa", "é😀b", "é😁b", None, "a"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: tuple(r)[1:] for r in queries.QUERIES["edit_plan_whole"](spark, str(tmp_path)).collect()}
+    assert sorted(got) == list(range(len(texts) - 1))
+    for i, (a, b) in enumerate(zip(texts, texts[1:])):
+        if a is None or b is None:
+            assert got[i] == (None, None, None)
+            continue
+        lead = max(k for k in range(min(len(a), len(b)) + 1) if a[:k] == b[:k])
+        tail = max(k for k in range(min(len(a), len(b)) - lead + 1) if a[len(a) - k :] == b[len(b) - k :])
+        assert got[i] == (tail, len(a) - lead - tail, b[lead : len(b) - tail])
+    assert got[0] == (3000, 0, "X")
