@@ -138,6 +138,13 @@ def test_lines_are_linked_wherever_their_bits_differ(spark, monkeypatch):
         assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df, halves=False).collect()} == want
 
 
+def test_short_lines_go_where_they_are_equal(spark):
+    rows = [(1, "Read more\n\n***\n日本語の長い文章がここにあります。\nonly here"), (2, "read MORE!\n * * * \n\n日本語の長い文章がここにあります\n***\nread less"), (3, "Read more\nRead more\n  ")]
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(frame(spark, rows), halves=False, short=True).collect()}
+    assert got == {1: (rows[0][1], 5, 0), 2: (" * * * \n\nread less", 6, 3), 3: ("  ", 3, 2)}
+    assert {r.n_removed for r in line_dedup.dedup_lines(frame(spark, rows)).collect()} == {0}
+
+
 # Tokens
 
 
