@@ -131,6 +131,14 @@ def ngram_margin_swap(spark, d):
     return ngram.margins(pairs, ngram.train(words)).withColumn("margin", F.round("margin", 5))
 
 
+@query()
+def ngram_margin_swap_all(spark, d):
+    """ngram_margin_swap over the whole vocabulary."""
+    words = _vocabulary(spark, d)
+    pairs = words.filter("length(word) >= 4 AND substr(word, 1, 1) <> substr(word, 2, 1)").select("lang", "word", F.expr("substr(word, 2, 1) || substr(word, 1, 1) || substr(word, 3)").alias("candidate"))
+    return ngram.margins(pairs, ngram.train(words)).withColumn("margin", F.round("margin", 5))
+
+
 @query(f"""WITH {_TOK}, f AS (SELECT lang, unnest(list_distinct(list_concat(list_concat(list_transform(range(1, length(word) + 2), lambda i: substr('^' || word || '$', i, 2)), list_transform(range(1, length(word) + 1), lambda i: substr('^' || word || '$', i, 3))), list_transform(range(1, length(word)), lambda i: substr('^' || word || '$', i, 4))))) AS feature FROM voc)
 SELECT lang, feature, count(*) AS n FROM f GROUP BY ALL""")
 def presence_features(spark, d):
@@ -189,6 +197,13 @@ def deletion_key_neighbors(spark, d):
     return candidates.neighbours(words, words)
 
 
+@query()
+def deletion_key_neighbors_all(spark, d):
+    """deletion_key_neighbors over the whole vocabulary, rare words too."""
+    words = _vocabulary(spark, d)
+    return candidates.neighbours(words, words)
+
+
 @query(f"""WITH {_TOK}, k AS (SELECT lang, word AS candidate, cnt, unnest(list_transform(range(2, least(8, length(word) - 1) + 1), lambda n: substr(word, 1, n))) AS prefix FROM voc WHERE length(word) > 2),
 q AS (SELECT DISTINCT lang, substr(word, 1, 3) AS prefix FROM voc WHERE length(word) >= 3)
 SELECT lang, prefix, candidate, cnt, rank FROM (SELECT lang, prefix, candidate, cnt, row_number() OVER (PARTITION BY lang, prefix ORDER BY cnt DESC, candidate) AS rank FROM k JOIN q USING (lang, prefix)) WHERE rank <= 5""")
@@ -505,6 +520,14 @@ def surface_overlap_candidates(spark, d):
     return found.select("lang", "word", "candidate", F.col("overlap").cast("long").alias("overlap"), F.col("place").cast("long").alias("place"))
 
 
+@query()
+def surface_overlap_candidates_all(spark, d):
+    """surface_overlap_candidates of all rare words."""
+    words = _vocabulary(spark, d)
+    found = decide.overlap_candidates(words.filter("cnt < 5"), words.filter("cnt >= 5"), 3, 4)
+    return found.select("lang", "word", "candidate", F.col("overlap").cast("long").alias("overlap"), F.col("place").cast("long").alias("place"))
+
+
 @query(f"""WITH {_TOK}, k AS (SELECT unnest([2, 3, 4]) AS length, word, cnt FROM voc), s AS (SELECT length, substr(word, 1, length) AS prefix, sum(cnt)::BIGINT AS support, count(*) AS words FROM k WHERE length(word) >= length GROUP BY ALL)
 SELECT length, prefix, support, words, place FROM (SELECT *, row_number() OVER (PARTITION BY length ORDER BY support DESC, prefix) AS place FROM s) WHERE place <= 20""")
 def hot_prefix_frontier(spark, d):

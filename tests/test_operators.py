@@ -4,10 +4,12 @@ from pyspark.sql import functions as F
 
 from keyloom.functions import distance
 from keyloom.operators import candidates, corpus, journal, ngram, rank
+from keyloom.plans import queries
 from keyloom.sources import text as S
 from keyloom.streaming import batch, taps
 
 import itertools
+from collections import Counter
 
 
 def lexicon(spark, words):
@@ -104,3 +106,17 @@ def test_sources(spark, tmp_path):
     assert S.fingerprint(a).first() == S.fingerprint(b).first() != S.fingerprint(lexicon(spark, ["a"])).first()
     got = S.fragments(spark.createDataFrame([(1, "one. two three four! " + "x" * 30 + " y z")], "doc_id long, text string"), 3, 20).collect()
     assert [r.reject for r in got] == ["tokens", None, "oversized"]
+
+
+def test_queries_over_the_whole_vocabulary(spark, tmp_path):
+    """Rare words on both sides, against brute force."""
+    texts = ["planet " * 6 + "garden " * 5 + "plant", "planets palnet gardem garden", "gaardn planet lanterns"]
+    spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    count = Counter(" ".join(texts).split())
+    run = lambda name: queries.QUERIES[name](spark, str(tmp_path)).collect()
+    pairs = {(a, b) for a in count for b in count if a != b and distance.osa(a, b) == 1}
+    assert {(r.word, r.candidate) for r in run("deletion_key_neighbors_all")} == pairs and ("plant", "planet") in pairs
+    assert sorted(r.word for r in run("ngram_margin_swap_all")) == sorted(w for w in count if w[0] != w[1])
+    grams = lambda w: {f"^^{w}$"[k : k + 3] for k in range(len(w) + 1)}
+    want = {(a, b, len(grams(a) & grams(b))) for a in count for b in count if count[a] < 5 <= count[b] and len(grams(a) & grams(b)) >= 3}
+    assert {(r.word, r.candidate, r.overlap) for r in run("surface_overlap_candidates_all")} == want and len(want) >= 4
