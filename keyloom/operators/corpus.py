@@ -89,12 +89,25 @@ def next_token_top1(tokens: DataFrame) -> DataFrame:
 
 
 def presence_features(words: DataFrame) -> DataFrame:
-    """lang, feature, n: in how many words(lang, word) each 2-4-gram, edge or short whole word occurs."""
+    """lang, feature, n: in how many words(lang, word) each 2-4-gram of ^word$ occurs."""
     w = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
     grams = lambda n: F.transform(F.when(F.length(w) >= n, F.sequence(F.lit(1), F.length(w) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substr(w, i, F.lit(n)))
     return words.select("lang", F.explode(F.array_distinct(F.concat(grams(2), grams(3), grams(4)))).alias("feature")).groupBy("lang", "feature").agg(F.count("*").alias("n"))
 
 
+def fragment_features(words: DataFrame) -> DataFrame:
+    """lang, feature, n: in how many words(lang, word) each 2-4-gram, marked edge of 1-5 letters or whole word up to 5 occurs."""
+    w, size = F.col("word"), F.length("word")
+    none = F.array().cast("array<string>")
+    grams = lambda n: F.when(size >= n, F.transform(F.sequence(F.lit(1), F.greatest(size - n + 1, F.lit(1))), lambda i: F.substr(w, i, F.lit(n)))).otherwise(none)
+    edges = F.sequence(F.lit(1), F.least(size, F.lit(5)))
+    heads = F.transform(edges, lambda n: F.concat(F.lit("^"), F.substr(w, F.lit(1), n)))
+    tails = F.transform(edges, lambda n: F.concat(F.substr(w, size - n + 1, n), F.lit("$")))
+    whole = F.when(size <= 5, F.array(F.concat(F.lit("^"), w, F.lit("$")))).otherwise(none)
+    features = F.array_distinct(F.concat(grams(2), grams(3), grams(4), heads, tails, whole))
+    return words.filter(size > 0).select("lang", F.explode(features).alias("feature")).groupBy("lang", "feature").agg(F.count("*").alias("n"))
+
+
 def accuracy(df: DataFrame, keys: list[str], right: Column) -> DataFrame:
     """keys, total, ok, accuracy."""
     return df.groupBy(*keys).agg(F.count("*").alias("total"), F.count_if(right).alias("ok"), F.round(F.count_if(right) / F.count("*"), 6).alias("accuracy"))

@@ -145,6 +145,12 @@ def presence_features(spark, d):
     return corpus.presence_features(_vocabulary(spark, d))
 
 
+@query()
+def fragment_features(spark, d):
+    """presence_features with all marked edges and short whole words of the reference."""
+    return corpus.fragment_features(_vocabulary(spark, d))
+
+
 @query(f"WITH {_TOK}, o AS (SELECT lang, word, min((doc_id, pos)) AS first FROM tok GROUP BY ALL) SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY first) AS rank FROM o")
 def lexicon_first_rank(spark, d):
     first = _tokens(spark, d).groupBy("lang", "word").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
