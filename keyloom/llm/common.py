@@ -71,6 +71,14 @@ def sweep(spark: SparkSession, paths: list[str]) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+def private(df: DataFrame, *wanted: str) -> tuple[DataFrame, dict[str, str]]:
+    """df under names of this package's own but for the wanted columns, so that no other column's name can clash with
+    those of an operator; and df's names by the new ones, in order."""
+    lower = {w.lower(): w for w in wanted}
+    names = {lower.get(c.lower(), f"own_column_{k}"): c for k, c in enumerate(df.columns)}
+    return df.toDF(*names), names
+
+
 def shuffles(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

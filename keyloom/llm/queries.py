@@ -31,7 +31,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), halves=False, short=True)
+    return line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"), short=True)
 
 
 def op4_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -105,42 +105,51 @@ def test_lines(spark):
     assert all(osa_free(a, similar[0]) <= 0.2 * max(len(a), len(similar[0])) for a in similar[1:3])
 
 
-def test_lines_equal_brute_force(spark):
-    """Links of lines by the stated rule, over every pair."""
+def line_links(rows):
+    """Lines by the stated rule alone, over every pair: (words of each, links)."""
+    norm = {(i, k): line.split(" ") for i, t in rows for k, line in enumerate(t.split("\n"))}
+    return norm, [(p, q) for p, q in itertools.combinations(sorted(norm), 2) if osa_free(norm[p], norm[q]) <= 0.2 * max(len(norm[p]), len(norm[q])) + 1e-7]
+
+
+def kept_lines(rows, norm, links):
+    low = components(sorted(norm), links)
+    return {i: "\n".join(line for k, line in enumerate(t.split("\n")) if low[i, k] == (i, k)) for i, t in rows}
+
+
+def test_lines_equal_brute_force(spark, monkeypatch):
+    """Few edits: every link is found, with and without lists that are split; extra columns with names of the operator's."""
     rng = random.Random(8)
-    base = [wordy(rng, rng.randrange(5, 60), 50) for _ in range(30)]
-    rows = [(i, "\n".join(edited(rng, rng.choice(base), rng.randrange(3)) for _ in range(4))) for i in range(60)]
-    df = frame(spark, rows)
-    seen = {(r.doc_id, r.line_no): r for r in line_dedup._occurrences(df).collect()}
-    norm = {(i, k): line for i, t in rows for k, line in enumerate(t.split("\n"))}
-    meet = lambda a, b: bin((a.sim ^ b.sim) & (1 << 64) - 1).count('1') <= 8 and _blocks(a, b)
-    _blocks = lambda a, b: (a.sim ^ b.sim) & 0xFFFFFFFF == 0 or ((a.sim ^ b.sim) >> 32) & 0xFFFFFFFF == 0
-    links = [(p, q) for p, q in itertools.combinations(sorted(seen), 2) if meet(seen[p], seen[q]) and osa_free(norm[p].split(" "), norm[q].split(" ")) <= 0.2 * max(norm[p].count(" "), norm[q].count(" ")) + 0.2 + 1e-7]
-    low = components(sorted(seen), links)
-    want = {i: "\n".join(line for k, line in enumerate(t.split("\n")) if low[i, k] == (i, k)) for i, t in rows}
-    assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df).collect()} == want
+    base = [wordy(rng, rng.randrange(5, 60), 300) for _ in range(30)]
+    rows = [(i, "\n".join(edited(rng, rng.choice(base), rng.randrange(2)) for _ in range(4))) for i in range(60)]
+    want = kept_lines(rows, *line_links(rows))
+    clash = "doc_id long, n_lines string, text string, row int, `_ld_x` int, hit int, N_Removed int"
+    for hot, exact in ((line_dedup.HOT, False), (line_dedup.HOT, True), (3, False)):
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        got = line_dedup.dedup_lines(spark.createDataFrame([(i, "x", t, 1, 2, 3, 4) for i, t in rows], clash), exact=exact)
+        assert got.columns == ["doc_id", "text", "row", "_ld_x", "hit", "n_lines", "n_removed"]
+        assert {r.doc_id: r.text for r in got.collect()} == want
     assert line_dedup.dedup_lines(frame(spark, [])).collect() == []
 
 
-def test_lines_are_linked_wherever_their_bits_differ(spark, monkeypatch):
-    """Links of lines by the rule alone, over every pair; with and without blocks that are split."""
-    rng = random.Random(21)
-    base = [wordy(rng, rng.randrange(8, 50), 300) for _ in range(25)]
-    rows = [(i, "\n".join(edited(rng, rng.choice(base), rng.randrange(1, 4)) for _ in range(3))) for i in range(60)]
-    df = frame(spark, rows)
-    seen = {(r.doc_id, r.line_no): r for r in line_dedup._occurrences(df).collect()}
-    norm = {(i, k): line.split(" ") for i, t in rows for k, line in enumerate(t.split("\n"))}
-    near = lambda a, b: bin((a.sim ^ b.sim) & (1 << 64) - 1).count("1") <= 8
-    low = components(sorted(seen), [(p, q) for p, q in itertools.combinations(sorted(seen), 2) if near(seen[p], seen[q]) and osa_free(norm[p], norm[q]) <= 0.2 * max(len(norm[p]), len(norm[q])) + 1e-7])
-    want = {i: "\n".join(line for k, line in enumerate(t.split("\n")) if low[i, k] == (i, k)) for i, t in rows}
-    for hot in (line_dedup.HOT, 3):
-        monkeypatch.setattr(line_dedup, "HOT", hot)
-        assert {r.doc_id: r.text for r in line_dedup.dedup_lines(df, halves=False).collect()} == want
+@pytest.mark.parametrize("words, edits", [(5, 1), (8, 1), (10, 1), (10, 2), (20, 1), (20, 4), (40, 1), (40, 8), (100, 20), (200, 40)])
+def test_similar_lines_meet(spark, words, edits):
+    """Recall over all pairs that are similar by edits alone: lines and their copies with words replaced."""
+    rng = random.Random(words)
+    base = [wordy(rng, words, 30_000) for _ in range(150)]
+    copies = []
+    for line in base:
+        w = line.split(" ")
+        for k in rng.sample(range(words), edits):
+            w[k] = f"word{rng.randrange(30_000)}"
+        copies.append(" ".join(w))
+    rows = [(i, t) for i, t in enumerate(base + copies)]
+    removed = sum(r.n_removed for r in line_dedup.dedup_lines(frame(spark, rows)).collect())
+    assert 0.9 * 150 <= removed <= 150
 
 
 def test_short_lines_go_where_they_are_equal(spark):
     rows = [(1, "Read more\n\n***\n日本語の長い文章がここにあります。\nonly here"), (2, "read MORE!\n * * * \n\n日本語の長い文章がここにあります\n***\nread less"), (3, "Read more\nRead more\n  ")]
-    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(frame(spark, rows), halves=False, short=True).collect()}
+    got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(frame(spark, rows), short=True).collect()}
     assert got == {1: (rows[0][1], 5, 0), 2: (" * * * \n\nread less", 6, 3), 3: ("  ", 3, 2)}
     assert {r.n_removed for r in line_dedup.dedup_lines(frame(spark, rows)).collect()} == {0}
 
