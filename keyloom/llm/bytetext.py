@@ -5,7 +5,6 @@ Texts are handled in slices of a MB or so, so a worker's memory doesn't grow wit
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,26 +41,29 @@ def slices(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.n
         i = j
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd root and of its inverse modulo 2**64, kept from call to call."""
-    kept = sys.__dict__.setdefault("_keyloom_powers", [np.ones(1, np.uint64)] * 2)
-    if len(kept[0]) < n:
-        m = max(n, 3 * SLICE_BYTES)
-        inverse = np.uint64(pow(int(_ROOT), -1, 1 << 64))
-        for k, root in enumerate((_ROOT, inverse)):
-            steps = np.full(m, root, np.uint64)
-            steps[0] = 1
-            kept[k] = np.multiply.accumulate(steps)
-    return kept[0], kept[1]
+def _table(root: int, n: int) -> np.ndarray:
+    steps = np.full(n, root, np.uint64)
+    steps[0] = 1
+    return np.multiply.accumulate(steps)
+
+
+_LOW = 1 << 16
+#: Powers below 65,536 of an odd root and of its inverse modulo 2**64, and of their 65,536th powers: positions below 2**32.
+_UP, _DOWN = ((_table(r, _LOW), _table(pow(r, _LOW, 1 << 64), _LOW)) for r in (int(_ROOT), pow(int(_ROOT), -1, 1 << 64)))
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span of bytes, the same wherever the span lies."""
-    up, down = _powers(len(data))
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=total[1:])
-    return mix64((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
+    for a in range(0, len(data), _LOW):
+        part = data[a : a + _LOW].astype(np.uint64)
+        part += np.uint64(1)
+        part *= _UP[0][: len(part)]
+        part *= _UP[1][a >> 16]
+        np.cumsum(part, out=total[a + 1 : a + 1 + len(part)])
+        total[a + 1 : a + 1 + len(part)] += total[a]
+    return mix64((total[end] - total[start]) * _DOWN[0][start & (_LOW - 1)] * _DOWN[1][start >> 16] + (end - start).astype(np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 
 #: Byte classes: white space between words is 9 to 13 and 32, the zero byte ends a text.

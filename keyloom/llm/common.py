@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,7 +11,10 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_recording: list[list[str]] = []
+#: The scopes that this thread is in, each the paths of its tables.
+_scopes: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("scopes", default=())
+#: Settings under which tables that Python workers make are written: texts are large, workers small.
+_ARROW = {"spark.sql.execution.arrow.maxRecordsPerBatch": "500", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,54 +25,67 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents")
 
 
-def session(df: DataFrame) -> SparkSession:
-    """df's session, with Arrow batches of at most 500 rows (the default is 10,000): texts are large, workers small."""
-    spark, key = df.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > 500:
-        spark.conf.set(key, "500")
-    return spark
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Arrow batches of at most 500 rows and 4 MB for what is executed meanwhile; the caller's settings come back."""
+    before = {key: spark.conf.get(key, None) for key in _ARROW}
+    try:
+        for key, value in _ARROW.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; only where none is set (tests), a temporary one on this machine."""
+    """The cluster's checkpoint folder; only where none is set and all runs on this machine, as in tests, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='keyloom-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
 
 
 def new_path(spark: SparkSession, tag: str) -> str:
-    path = f"{shared_folder(spark)}/keyloom/{tag}-{uuid.uuid4().hex[:12]}"
-    for paths in _recording:
-        paths.append(path)
-    return path
+    return f"{shared_folder(spark)}/keyloom/{tag}-{uuid.uuid4().hex[:12]}"
 
 
-def keep(df: DataFrame, tag: str) -> DataFrame:
-    """df written to the shared folder and read from there: lost executors cost no more than their own tasks."""
+def _written(df: DataFrame, tag: str, scopes: tuple[list[str], ...]) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, tag)
-    df.write.parquet(path)
+    if scopes:
+        scopes[-1].append(path)
+    with small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def keep(df: DataFrame, tag: str) -> DataFrame:
+    """df written to the shared folder and read from there: lost executors cost no more than their own tasks. The table
+    goes with the scope it was written in."""
+    return _written(df, tag, _scopes.get())
+
+
+def lasting(df: DataFrame, tag: str) -> DataFrame:
+    """As keep(), for a result: the table stays beyond the scope it was written in."""
+    return _written(df, tag, _scopes.get()[:-1])
+
+
 @contextlib.contextmanager
-def recorded() -> Iterator[list[str]]:
-    """The paths that new_path() gives meanwhile."""
-    _recording.append(paths := [])
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """A scope whose tables are deleted at its end; what leaves it must read none but lasting() ones."""
+    token = _scopes.set((*_scopes.get(), paths := []))
     try:
-        yield paths
+        yield
     finally:
-        _recording.remove(paths)
-
-
-def sweep(spark: SparkSession, paths: list[str]) -> None:
-    """Deletes recorded paths. For callers that have consumed every result that reads them."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while paths:
-        p = jvm.org.apache.hadoop.fs.Path(paths.pop())
-        p.getFileSystem(conf).delete(p, True)
+        _scopes.reset(token)
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for path in paths:
+            p = jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(conf).delete(p, True)
 
 
 def private(df: DataFrame, *wanted: str) -> tuple[DataFrame, dict[str, str]]:
@@ -79,6 +96,22 @@ def private(df: DataFrame, *wanted: str) -> tuple[DataFrame, dict[str, str]]:
     return df.toDF(*names), names
 
 
+def row_key():
+    """A hash of a document's id and text: rows that repeat both are one document, others with its id are not."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """docs less the documents of gone(doc_id, row_key). Only rows that may go are shuffled, by a bitmap of bounded size."""
+    own, names = private(docs, "doc_id", "text")
+    own = own.withColumn("row_key", row_key()).withColumn("k", F.pmod(F.xxhash64("row_key"), F.lit(SIEVE_BITS)))
+    own = own.join(F.broadcast(sieve(gone.select("row_key"))), F.shiftright("k", 6) == F.col("sieve_cell"), "left")
+    own = own.withColumn("hit", F.coalesce(F.expr("(shiftright(sieve_bits, cast(k % 64 as int)) & 1) = 1"), F.lit(False)))
+    gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("row_key").alias("gone_key")).distinct()
+    stay = own.filter("hit").join(gone, (F.col("row_key") == F.col("gone_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
+    return own.filter("not hit").select(*names).union(stay.select(*names)).toDF(*names.values())
+
+
 def shuffles(spark: SparkSession) -> int:
     return max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -12,9 +12,12 @@ its answer (the last; of a single sentence, its last third). One changed word ta
 part of fewer than ten is compared word by word instead: half of its words lie, in their order, in the stretch of the
 passage where the item's other shingles place the part.
 
-The index is broadcast in shards of at most SHARD items; a larger benchmark takes several scans. Nothing is shuffled.
+Items of two to four words are held where their whole sequence of words is.
 
-Defined cases: items that are null or have fewer than five words are too short to be told from chance and match nothing;
+The index is broadcast in shards of at most SHARD items, one at a time; a larger benchmark takes several scans. Nothing
+is shuffled.
+
+Defined cases: items that are null or have fewer than two words can't be told from chance and match nothing;
 null and empty texts match nothing; a row of null doc_id is judged and reported with null; repeated rows are reported
 each; of equal passages the first counts; empty tables give no rows; other columns are ignored.
 """
@@ -28,12 +31,13 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import session
 from keyloom.llm.bytetext import mix64, ragged, slices, words
+from keyloom.llm.common import keep, lasting, row_key, scratch
 
 SHINGLE, OVERLAP, PART_OVERLAP = 5, 0.75, 0.5
 SHARD, BLOCK, K1, B = 20_000, 16, 1.2, 0.75
-RESULT = "doc_id long, item_id long, score double, threshold double, overlap double, question_overlap double, answer_overlap double, first_word long, last_word long, row_no long"
+LEAST_WORDS = 2
+RESULT = "doc_id long, item_id long, score double, threshold double, overlap double, question_overlap double, answer_overlap double, first_word long, last_word long, row_key long"
 
 
 _PRESENT = 1 << 22
@@ -48,10 +52,10 @@ def _hashes(text: str) -> np.ndarray:
     return words(data, starts, alnum=True)[0]
 
 
-def _shingles(h: np.ndarray) -> np.ndarray:
-    s = np.zeros(max(len(h) - SHINGLE + 1, 0), np.uint64)
-    for k in range(SHINGLE):
-        s = mix64(s + h[k : len(h) - SHINGLE + 1 + k] * np.uint64((2 * k + 1) * 0x632BE59BD9B4E019 & ((1 << 64) - 1) | 1)) if len(s) else s
+def _shingles(h: np.ndarray, width: int = SHINGLE) -> np.ndarray:
+    s = np.zeros(max(len(h) - width + 1, 0), np.uint64)
+    for k in range(width):
+        s = mix64(s + h[k : len(h) - width + 1 + k] * np.uint64((2 * k + 1) * 0x632BE59BD9B4E019 & ((1 << 64) - 1) | 1)) if len(s) else s
     return s
 
 
@@ -84,13 +88,13 @@ def _in_place(item: np.ndarray, a: int, b: int, passage: np.ndarray, held: np.nd
 
 class Index:
     def __init__(self, items: list[tuple[int, str]]):
-        kept = [(i, t, h) for i, t in sorted(items) if len(h := _hashes(t)) >= SHINGLE]
+        kept = [(i, t, h) for i, t in sorted(items) if len(h := _hashes(t)) >= LEAST_WORDS]
         self.ids = np.array([i for i, _, _ in kept], np.int64)
         self.shingles, self.question, self.answer, self.parts = [], [], [], []
         for _, t, h in kept:
             cuts = [len(_hashes(t[: m.end()])) for m in re.finditer(r"[.!?]+\s+", t.rstrip())]
             split = max((c for c in cuts if 0 < c < len(h)), default=len(h) - max(1, len(h) // 3))
-            s = _shingles(h)
+            s = _shingles(h, min(len(h), SHINGLE))
             self.shingles.append(np.unique(s))
             # Shingles that begin in the question, and those that end in the answer.
             self.question.append(np.unique(s[:split]))
@@ -112,7 +116,7 @@ class Index:
         needed = np.zeros(len(self.item), bool)
         for k in range(len(kept)):
             rows = slice(self.ends[k], self.ends[k + 1])
-            counts = np.sort(np.unique(_shingles(kept[k][2]), return_counts=True)[1])[::-1]
+            counts = np.sort(np.unique(_shingles(kept[k][2], min(len(kept[k][2]), SHINGLE)), return_counts=True)[1])[::-1]
             missing = int(counts[: int((1 - OVERLAP) * len(counts) + 1e-9)].sum())
             low = np.sort(self.impact[rows])
             self.threshold[k] = max(low[: max(len(low) - missing, 0)].sum() - 1e-9, 1e-9)
@@ -184,11 +188,13 @@ class Index:
         score = float(self.impact[rows][np.isin(self.words[self.term[rows]], h)].sum())
         if score < self.threshold[item] - 1e-9:
             return None
+        words_, split = self.parts[item]
+        if len(words_) < SHINGLE:
+            return (score, 1.0, 1.0, 1.0) if np.isin(self.shingles[item], _shingles(h, len(words_))).all() else None
         held = _shingles(h)
         share = [float(np.isin(s, held).mean()) for s in (self.shingles[item], self.question[item], self.answer[item])]
         if share[0] < OVERLAP - 1e-12:
             return None
-        words_, split = self.parts[item]
         for k, part, a, b in ((1, self.question[item], 0, split), (2, self.answer[item], split, len(words_))):
             if len(part) < 2 * SHINGLE:
                 share[k] = _in_place(words_, a, b, h, held)
@@ -197,7 +203,7 @@ class Index:
 
 def _scan(shipped):
     def run(batches):
-        index, number = shipped.value, 0
+        index = shipped.value
         for pdf in batches:
             if not len(index.ids):
                 continue
@@ -219,23 +225,26 @@ def _scan(shipped):
                         out[name] = [best[key][0][k] for key in keys]
                     out["threshold"] = [index.threshold[k] for _, k in keys]
                     out["first_word"], out["last_word"] = [best[key][1] for key in keys], [best[key][2] for key in keys]
-                    out["row_no"] = [number + i + t for t, _ in keys]
+                    out["row_key"] = pdf["row_key"].array.take(np.array([i + t for t, _ in keys]))
                     yield out[[c.split()[0] for c in RESULT.split(", ")]]
-            number += len(pdf)
 
     return run
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each row of docs(doc_id, text) and item of benchmark(item_id, text) that it holds."""
-    spark = session(docs)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+def contaminated(docs: DataFrame, benchmark: DataFrame, key: bool = False) -> DataFrame:
+    """One row for each row of docs(doc_id, text) and item of benchmark(item_id, text) that it holds (and row_key)."""
+    spark = docs.sparkSession
+    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("row_key", row_key())
     items = benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("string")).filter("item_id is not null and text is not null")
     count, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     shards = max(1, -(-count // SHARD), -(-chars // (SHARD * 500)))
-    found = None
-    for k in range(shards):
-        rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).collect()
-        part = docs.mapInPandas(_scan(spark.sparkContext.broadcast(Index([tuple(r) for r in rows]))), RESULT)
-        found = part if found is None else found.unionByName(part)
-    return found.drop("row_no")
+    with scratch(spark):
+        found = None
+        for k in range(shards):
+            rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).collect()
+            shipped = spark.sparkContext.broadcast(Index([tuple(r) for r in rows]))
+            part = keep(docs.mapInPandas(_scan(shipped), RESULT), "leaks")
+            shipped.unpersist()
+            found = part if found is None else found.unionByName(part)
+        found = lasting(found, "contaminated")
+    return found if key else found.drop("row_key")

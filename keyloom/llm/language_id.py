@@ -6,8 +6,9 @@ by the likeness of their mean vectors; one linear support vector machine a famil
 family one-versus-one machines tell its languages apart, by votes and then margins. The score is the softmax share of
 the chosen family times the least of the chosen language's pairwise logistic margins.
 
-Learned only from text and lang of the rows given for training: at most PER_LANGUAGE rows or so of each language,
-drawn by a hash of doc_id, at most TOTAL in all; the model has a fixed size. Prediction reads text alone.
+Learned only from text and lang of the rows given for training: PER_LANGUAGE rows or so of each language, drawn by a
+hash of doc_id, or an equal number fewer of each where there are more than TOTAL / PER_LANGUAGE languages; every
+language is learned. Prediction reads text alone.
 
 Defined cases: a text that is null or has no letter is `und` with score 0; so is any text if nothing could be learned;
 with one learned language, texts with a letter get it with score 1; rows are judged one by one, so repeats agree;
@@ -21,11 +22,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import session
 from keyloom.llm.bytetext import _LOWER, slices
+from keyloom.llm.common import keep, lasting, row_key, scratch
 
 BUCKETS = 2048
-PER_LANGUAGE, LANGUAGES, TOTAL = 800, 100, 8000
+PER_LANGUAGE, TOTAL = 800, 8000
 
 _LETTERS = _LOWER.copy()
 _LETTERS[:128] = [c if 97 <= c <= 122 else 32 for c in _LOWER[:128]]
@@ -124,46 +125,40 @@ def predict(model: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, training) -> dict:
     """A model from the rows of docs(doc_id, text, lang) that training selects."""
     rows = docs.filter(training & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("lang").cast("string"))
-    counts = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) * F.col("n") < F.lit(PER_LANGUAGE * 1_000_000)
-    sample = rows.join(F.broadcast(counts), "lang").filter(draw).limit(TOTAL)
-
-    def run(batches):
-        for pdf in batches:
-            texts = [t if has_letter(t) else None for t in pdf["text"]]
-            for i, x in features(texts):
-                some = [k for k in range(len(x)) if texts[i + k] is not None]
-                yield pd.DataFrame({"lang": [pdf["lang"].iat[i + k] for k in some], "x": [x[k].tobytes() for k in some]})
-
-    found = sample.mapInPandas(run, "lang string, x binary").toPandas()
+    with scratch(docs.sparkSession):
+        counts = keep(rows.groupBy("lang").agg(F.count("*").alias("n")), "language-counts")
+        each = max(1, min(PER_LANGUAGE, TOTAL // max(1, counts.count())))
+        draw = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(1_000_000)) * F.col("n") < F.lit(each * 1_000_000)
+
+        def run(batches):
+            for pdf in batches:
+                texts = [t if has_letter(t) else None for t in pdf["text"]]
+                for i, x in features(texts):
+                    some = [k for k in range(len(x)) if texts[i + k] is not None]
+                    yield pd.DataFrame({"lang": [pdf["lang"].iat[i + k] for k in some], "x": [x[k].tobytes() for k in some]})
+
+        found = keep(rows.join(counts, "lang").filter(draw).mapInPandas(run, "lang string, x binary"), "language-sample").toPandas().sort_values(["lang", "x"])
     return learn(np.frombuffer(b"".join(found["x"]), np.float32).reshape(-1, BUCKETS), found["lang"].tolist())
 
 
-def identify(docs: DataFrame, model: dict, carry: list[str] | None = None) -> DataFrame:
-    """doc_id, lang_pred, score, one row for each row of docs(doc_id, text).
-
-    With carry, the columns of docs that it names come first, in place of doc_id alone.
-    """
-    shipped = session(docs).sparkContext.broadcast(model)
-    if carry is None:
-        docs, carry = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")), ["doc_id"]
-    place = docs.columns.index("text")
-    schema = ", ".join([*(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in carry), "lang_pred string", "score double"])
+def identify(docs: DataFrame, model: dict, key: bool = False) -> DataFrame:
+    """doc_id, lang_pred, score (and row_key, of doc_id and text), one row for each row of docs(doc_id, text)."""
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         import pyarrow as pa
 
         m = shipped.value
         for batch in batches:
-            texts = batch.column(place).to_pylist()
+            texts = batch.column(1).to_pylist()
             langs, scores = [], []
             for i, x in features(texts):
                 lang, score = predict(m, x) if m["names"] else (np.zeros(len(x), int), np.zeros(len(x)))
                 fine = np.array([has_letter(t) for t in texts[i : i + len(x)]]) & bool(m["names"])
                 langs += [m["names"][k] if ok else "und" for k, ok in zip(lang, fine)]
                 scores.append(np.where(fine, score, 0.0).astype(np.float64))
-            columns = [batch.column(docs_at[c]) for c in carry]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array(langs, pa.string()), pa.array(np.concatenate([*scores, np.empty(0)]))], names=[*carry, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(np.concatenate([*scores, np.empty(0)])), batch.column(2)], names=["doc_id", "lang_pred", "score", "row_key"])
 
-    docs_at = {c: k for k, c in enumerate(docs.columns)}
-    return docs.mapInArrow(run, schema)
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("row_key", row_key())
+    found = lasting(rows.mapInArrow(run, "doc_id long, lang_pred string, score double, row_key long"), "languages")
+    return found if key else found.drop("row_key")

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyloom.llm.bytetext import mix64, ragged, slices, words
-from keyloom.llm.common import keep, session, sieve, sifted
+from keyloom.llm.common import keep, lasting, row_key, scratch, sieve, sifted
 from keyloom.llm.components import components
 
 COORDINATES, MATCHES, POSTED, POSTED_MATCHES, SHINGLE = 96, 52, 32, 12, 5
@@ -75,7 +75,7 @@ def _sign(batches):
                     sig[full, k] = np.minimum.reduceat(v, start) >> np.uint64(32)
                 for k, salt in enumerate((1, 2)):
                     sums[k, full] = np.add.reduceat(mix64(flat + np.uint64(salt)), start)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"].array[i : i + len(n)], "n_shingles": n, "h1": sums[0].view(np.int64), "h2": sums[1].view(np.int64), "sig": [x.tobytes() for x in sig]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].array[i : i + len(n)], "row_key": pdf["row_key"].array[i : i + len(n)], "n_shingles": n, "h1": sums[0].view(np.int64), "h2": sums[1].view(np.int64), "sig": [x.tobytes() for x in sig]})
 
 
 def _extend(batches):
@@ -91,7 +91,7 @@ def _extend(batches):
                     v ^= v >> np.uint64(32)
                     v *= np.uint64(0xA0761D6478BD642F)
                     long[:, k] = (np.minimum.reduceat(v, start) >> np.uint64(40)).astype(np.uint8)
-            yield pd.DataFrame({"doc": pdf["doc_id"].array.take(i + full), "long": [x.tobytes() for x in long]})
+            yield pd.DataFrame({"doc": pdf["row_key"].array.take(i + full), "long": [x.tobytes() for x in long]})
 
 
 def _entries(sigs) -> np.ndarray:
@@ -153,8 +153,8 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
 def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose full sets are similar. Only texts that pairs name are shuffled."""
     pairs = keep(pairs, "pairs")
-    texts = sifted(docs, sieve(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))), "doc_id").select("doc_id", "text")
-    a, b = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
+    texts = sifted(docs, sieve(pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id")))), "row_key").select("row_key", "text")
+    a, b = texts.select(F.col("row_key").alias("a"), F.col("text").alias("text_a")), texts.select(F.col("row_key").alias("b"), F.col("text").alias("text_b"))
     return pairs.join(a, "a").join(b, "b").filter(_similar("text_a", "text_b")).select("a", "b")
 
 
@@ -198,14 +198,20 @@ def _cross(batches):
         yield from done(rest)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept for every row of docs(doc_id, text)."""
-    spark = session(docs)
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    signed = keep(docs.mapInPandas(_sign, "doc_id long, n_shingles long, h1 long, h2 long, sig binary"), "signatures")
+def near_duplicates(docs: DataFrame, key: bool = False) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept (and row_key, of doc_id and text) for every row of docs(doc_id, text)."""
+    with scratch(docs.sparkSession):
+        found = lasting(_judged(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("row_key", row_key())), "near-duplicates")
+    return found if key else found.drop("row_key")
+
+
+def _judged(docs: DataFrame) -> DataFrame:
+    spark = docs.sparkSession
+    signed = keep(docs.mapInPandas(_sign, "doc_id long, row_key long, n_shingles long, h1 long, h2 long, sig binary"), "signatures")
     with_set = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = with_set.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "sig")).alias("least"))
-    reps = keep(classes.select("h1", "h2", F.col("least.doc_id").alias("rep"), F.col("least.sig").alias("sig")), "classes")
+    # A class goes by the row of its smallest doc_id: other texts may have that id too.
+    classes = with_set.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row_key", "sig")).alias("least"))
+    reps = keep(classes.select("h1", "h2", F.col("least.row_key").alias("rep"), F.col("least.doc_id").alias("rep_doc"), F.col("least.sig").alias("sig")), "classes")
 
     n = reps.count()
     often = reps.select("sig").mapInPandas(_local_counts(HOT_SHARE), "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(8, HOT_SHARE * n))
@@ -220,15 +226,15 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     led = lists.filter("doc != leader").select("leader", "doc").distinct()
     led = led.join(sigs.select(F.col("doc").alias("leader"), F.col("sig").alias("leader_sig")), "leader").join(sigs, "doc")
     led = led.withColumn("same", _collisions("leader_sig", "sig")).filter(F.col("same") >= MATCHES)
-    best = led.groupBy("doc").agg(F.max(F.struct("same", (-F.col("leader")).alias("back"))).alias("best"))
-    found = components(_verified(docs, best.select((-F.col("best.back")).alias("a"), F.col("doc").alias("b"))))
+    best = led.groupBy("doc").agg(F.max(F.struct("same", "leader")).alias("best"))
+    found = components(_verified(docs, best.select(F.col("best.leader").alias("a"), F.col("doc").alias("b"))))
 
     labelled = lists.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("entry", "size", "doc", "coordinate", "mask", F.coalesce("component", "doc").alias("label"))
     labelled = keep(labelled, "labelled")
     mixed = labelled.groupBy("entry").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("entry")
     blocks = F.ceil(F.col("size") / BLOCK)
     rows = keep(labelled.join(mixed, "entry"), "mixed")
-    long = sifted(docs, sieve(rows.select("doc")), "doc_id").mapInPandas(_extend, "doc long, long binary")
+    long = sifted(docs, sieve(rows.select("doc")), "row_key").mapInPandas(_extend, "doc long, long binary")
     long = keep(sigs.select("doc", F.substring("sig", 1, 4 * POSTED).alias("sig")).join(long, "doc"), "long-signatures")
     rows = rows.join(long, "doc").withColumn("block", F.pmod(F.xxhash64("doc"), blocks).cast("long"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))))
@@ -240,8 +246,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     merged = components(links.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
 
     first = found.select(F.col("node").alias("rep"), F.col("component").alias("middle"))
-    of_rep = reps.select("h1", "h2", "rep").join(first, "rep", "left").withColumn("middle", F.coalesce("middle", "rep"))
-    of_rep = of_rep.join(merged.select(F.col("node").alias("middle"), F.col("component").alias("final")), "middle", "left").select("h1", "h2", F.coalesce("final", "middle").alias("found"))
-    grouped = with_set.select("doc_id", "n_shingles", "h1", "h2").join(of_rep, ["h1", "h2"]).select("doc_id", "n_shingles", F.col("found").alias("component_id"))
-    alone = signed.filter("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return grouped.unionByName(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)))
+    of_rep = reps.select("h1", "h2", "rep", "rep_doc").join(first, "rep", "left").withColumn("middle", F.coalesce("middle", "rep"))
+    of_rep = of_rep.join(merged.select(F.col("node").alias("middle"), F.col("component").alias("final")), "middle", "left").select("h1", "h2", "rep_doc", F.coalesce("final", "middle").alias("found"))
+    lowest = of_rep.groupBy("found").agg(F.min("rep_doc").alias("component_id"))
+    of_rep = of_rep.join(lowest, "found").select("h1", "h2", "component_id")
+    grouped = with_set.select("doc_id", "row_key", "n_shingles", "h1", "h2").join(of_rep, ["h1", "h2"]).select("doc_id", "row_key", "n_shingles", "component_id")
+    alone = signed.filter("n_shingles = 0 or doc_id is null").select("doc_id", "row_key", "n_shingles", F.col("doc_id").alias("component_id"))
+    return grouped.unionByName(alone).select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"), "row_key")

@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import keep, session
+from keyloom.llm.common import keep, lasting, scratch
 from keyloom.llm.bytetext import slices, words
 
 SAMPLE, MAX_TERMS, LEAST_DOCS, LEAST_Z = 20_000, 512, 5, 5.0
@@ -192,7 +192,7 @@ class Scorer:
 def score(docs: DataFrame, model: dict, evidence: int = 0) -> DataFrame:
     """doc_id, score, predicted (and evidence: doc_ids of so many nearest examples) for each row of docs(doc_id, text)."""
     calibrated = Scorer(model).calibrate()
-    shipped = session(docs).sparkContext.broadcast((model, calibrated.x, calibrated.y))
+    shipped = docs.sparkSession.sparkContext.broadcast((model, calibrated.x, calibrated.y))
 
     def run(batches):
         model, x, y = shipped.value
@@ -208,4 +208,5 @@ def score(docs: DataFrame, model: dict, evidence: int = 0) -> DataFrame:
                     out["evidence"] = [e[:evidence].tolist() for _, e in found]
                 yield out
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, score double, predicted int" + ", evidence array<long>" * bool(evidence))
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, score double, predicted int" + ", evidence array<long>" * bool(evidence))
+    return lasting(found, "toxicity")
