@@ -334,23 +334,71 @@ def test_toxicity(spark):
     assert {r.score for r in toxicity.score(docs, empty).collect()} == {0.0}
 
 
-def test_nearest_examples_are_exact():
+def dense(bags, weight):
+    out = np.zeros((len(bags), len(weight)))
+    for k, (t, c) in enumerate(bags):
+        out[k, t] = (1 + np.log(c)) * weight[t]
+    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
+
+
+@pytest.mark.parametrize("sizes", [(64, 1 / 16), (10, 2.0), (10, 0.02)])
+def test_nearest_examples_are_exact(sizes, monkeypatch):
+    """Lists of every kind, several blocks, bounds that skip some; against all cosines."""
+    monkeypatch.setattr(toxicity, "FREQUENT", sizes[0])
+    monkeypatch.setattr(toxicity, "COMMON", sizes[1])
     rng = np.random.default_rng(3)
-    examples = []
-    for _ in range(700):
-        t = np.unique(rng.integers(0, 40, rng.integers(1, 6)))
-        examples.append((t, rng.integers(1, 4, len(t))))
-    index = toxicity.Index(examples, rng.integers(0, 2, 700), 1 + rng.random(40))
-    dense = np.zeros((700, 40))
-    for k, (t, c) in enumerate(examples):
-        dense[k, t] = index.vector(t, c)
-    for k in range(60):
-        best, cosine = index.nearest(*examples[k], 10, but=k)
-        every = dense @ dense[k]
-        every[k] = -1
-        want = np.lexsort((np.arange(700), -np.round(every, 12)))[:10]
-        want = want[every[want] > 0]
-        assert best.tolist() == want.tolist() and np.allclose(cosine, every[want])
+    bags = []
+    for k in range(1500):
+        t = np.unique(np.minimum(rng.zipf(1.3, rng.integers(1, 30)), 400) - 1)
+        bags.append((t, rng.integers(1, 4, len(t))))
+    example, term, count = np.repeat(np.arange(1500), [len(t) for t, _ in bags]), *(np.concatenate(x) for x in zip(*bags))
+    weight = 0.1 + rng.random(400) * (np.arange(400) % 7 == 0) * 5
+    index = toxicity.Index(example, term, count, 1500, weight, rng.integers(0, 2, 1500))
+    every = dense(bags, weight)
+    asked = list(range(0, 1500, 17))
+    for k, (best, cosine) in zip(asked, index.nearest_of([bags[k] for k in asked], 10, asked)):
+        want = every @ every[k]
+        want[k] = -1
+        assert np.allclose(cosine, want[best], atol=1e-4) and np.allclose(cosine, np.sort(want)[::-1][: len(best)], atol=1e-4) and len(best) == 10
+
+
+def test_toxicity_equals_brute_force(spark):
+    """The whole operator against plain bags, weights, cosines, votes and steps."""
+    rng = random.Random(17)
+    text = lambda bad: " ".join([*(f"w{int(rng.paretovariate(0.5)) % 900}" for _ in range(rng.randrange(20, 90))), *(rng.sample(["vile", "foul", "rotten"], 2) if bad else [])])
+    rows = [(i, text(i % 6 == 0), int(i % 6 == 0 or i % 29 == 0)) for i in range(500)]
+    rows += [(600 + i, rows[i][1], 1 - rows[i][2]) for i in range(3)]
+    docs, labels = frame(spark, [(*r[:2], "x", 5) for r in rows], "doc_id long, text string, toxic string, same int"), frame(spark, [(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, ~in_group("doc_id"))
+    got = {r.doc_id: r for r in toxicity.score(docs, model).collect()}
+    train, seen = [], set()
+    for i, t, y in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2 and t not in seen:
+            seen.add(t)
+            train.append((t.split(" "), y))
+    words = sorted({w for t, _ in train for w in t})
+    at = {w: k for k, w in enumerate(words)}
+    bag = lambda t: tuple(np.array(x) for x in zip(*sorted((at[w], t.count(w)) for w in set(t) if w in at)))
+    bags, y = [bag(t) for t, _ in train], np.array([y for _, y in train])
+    df = np.bincount(np.concatenate([b[0] for b in bags]), minlength=len(words))
+    bad = np.bincount(np.concatenate([b[0] for b, v in zip(bags, y) if v]), minlength=len(words))
+    p, s = y.mean(), (bad + 10 * y.mean()) / (df + 10)
+    weight = np.log((len(train) + 1) / (df + 0.5)) * (0.1 + np.log2(1 + np.maximum(s / (1 - s) * (1 - p) / p, 1)) - 1)
+    every = dense(bags, weight)
+
+    def vote(cosines):
+        best = np.lexsort((np.arange(len(train)), -np.round(cosines, 5)))[:25]
+        w = 1 / (1.05 - np.minimum(cosines[best], 1))
+        return (w * y[best]).sum() / w.sum()
+
+    product = every @ every.T
+    np.fill_diagonal(product, -1)
+    x, steps = toxicity.isotonic(np.array([vote(v) for v in product]), y)
+    assert all(np.diff(steps) >= 0)
+    close = [abs(got[i].score - min(max(np.interp(vote(dense([bag(t.split(" "))], weight)[0] @ every.T), x, steps), 0), 1)) for i, t, _ in rows]
+    # Ties at the 25th place may fall otherwise where rounded sums differ.
+    assert np.mean(np.array(close) < 1e-3) > 0.97 and len({round(r.score, 6) for r in got.values()}) > 20
+    assert toxicity.score(docs.filter("false"), model).collect() == []
 
 
 # Leaks
