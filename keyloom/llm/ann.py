@@ -1,18 +1,22 @@
 """Nearest neighbours by collision-counting hashing.
 
-A block of vectors is indexed by 48 single projections: for each, its values in sorted order. A query opens windows
-centred on its own projections; by virtual rehashing they widen by a constant factor until enough vectors fall into
-the windows of at least 55 % of the projections (vectors outside of the windows are counted, which are fewer). These
-collide often enough and are verified: by a matrix product first, and those that it puts within 1e-9 of the k-th
-place by their exact inner product, summed in double precision in the order of components. For the largest inner product, vectors get one more
-component that brings all of its block to the same length (queries get 0), which makes nearness in the projected space
-that of inner products. Where lengths differ this component outweighs the rest and collisions say little; so the block's
-matrix product, which is there for verification, also shows which vectors outside can reach the k-th score of those that
-collided, and these are verified too: what comes out are the k largest inner products, whatever the lengths.
+A block of vectors is split by length into ranges (norm ranging). Within a range, vectors get one more component that
+brings them to the range's largest length, and a query is scaled to that length (with 0 there), so that nearness is that
+of inner products. A range is indexed by PROJECTIONS single projections: for each, its values in sorted order. A query
+opens windows centred on its own projections; by virtual rehashing they widen by a constant factor, and what newly falls
+into a window counts one collision more. Vectors in the windows of THRESHOLD of the projections are verified: by their exact inner
+product on the original vectors. A range is done when the k-th best distance so far is no more than the windows' half
+width: a vector at that distance falls into a window with a probability of 0.68 and passes the threshold with one of 0.9,
+nearer ones and those of wider windows with more. That holds for any data; what the index can skip depends on them: of
+vectors in uniformly random directions, whose nearest are hardly nearer than the rest, a third, of clustered ones nearly
+all (figures in the README).
+
+Ranges come by descending length, and one whose largest length times the query's doesn't reach the k-th best inner product
+is skipped, as it holds nothing better. Ranges of fewer than SMALL vectors are verified whole. With exact=True
+so is every range that isn't skipped.
 
 Every row is indexed. Queries and vectors are dealt into blocks of bounded size by hashes of their ids, and each
 block of queries meets each block of vectors once; a query's best of each block are merged by a window on the query.
-The share of a block that must collide sets how many are verified at first; recall doesn't depend on it.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite components take no part, nor do rows
 of null vec_id; rows that repeat a vec_id count as one vector, the smallest in array order; only vectors of equally
@@ -27,90 +31,115 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PROJECTIONS, THRESHOLD, SHARE, WIDEN = 48, 0.55, 0.6, 1.1
+PROJECTIONS, THRESHOLD, WIDEN = 64, 0.6, 1.25
+#: Lengths of a range, least to largest; vectors below which a range has no index.
+RANGE, SMALL = 0.85, 128
 BLOCK, QUERIES = 8192, 2048
 
 
-class Index:
-    """Sorted projections of one block of vectors."""
+class Range:
+    """Sorted projections of vectors (rows of a block) of about one length."""
+
+    def __init__(self, vectors: np.ndarray, rows: np.ndarray, lengths: np.ndarray, axes: np.ndarray):
+        self.rows, self.top = rows, float(lengths[rows].max())
+        self.axes = axes
+        if len(rows) >= SMALL:
+            fill = np.sqrt(np.maximum(self.top**2 - lengths[rows] ** 2, 0))
+            cast = np.column_stack([vectors[rows], fill]) @ axes
+            order = np.argsort(cast, axis=0, kind="stable")
+            self.ids = np.ascontiguousarray(order.T)
+            self.values = np.ascontiguousarray(np.take_along_axis(cast, order, 0).T)
+            self.width = max(float((self.values[:, 3 * len(rows) // 4] - self.values[:, len(rows) // 4]).mean()) / 24, 1e-12 * self.top)
 
-    def __init__(self, vectors: np.ndarray, seed: int = 7):
-        self.vectors = vectors
+
+class Index:
+    def __init__(self, vectors: np.ndarray, ids: np.ndarray, seed: int = 7):
+        self.vectors, self.names = vectors, ids
         self.columns = np.ascontiguousarray(vectors.T)
-        squares = (vectors**2).sum(1)
-        fill = np.sqrt(squares.max() - squares)
-        self.axes = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, PROJECTIONS))
-        cast = np.column_stack([vectors, fill]) @ self.axes
-        order = np.argsort(cast, axis=0, kind="stable")
-        self.ids = np.ascontiguousarray(order.T)
-        self.values = np.ascontiguousarray(np.take_along_axis(cast, order, 0).T)
-        spread = self.values[:, (3 * len(vectors)) // 4] - self.values[:, len(vectors) // 4]
-        self.width = max(0.8 * float(spread.mean()), 1e-12)
-
-    def windows(self, at: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-        """The windows' ends in every projection, for each row of projected queries."""
-        width = self.width * WIDEN**level
-        ends = [(np.searchsorted(v, x - width), np.searchsorted(v, x + width, "right")) for v, x in zip(self.values, at.T)]
-        return np.stack([a for a, _ in ends], 1), np.stack([b for _, b in ends], 1)
-
-    def candidates(self, queries: np.ndarray, share: float):
-        """For each query the vectors that collide often enough."""
-        n = len(self.vectors)
-        at = np.column_stack([queries, np.zeros(len(queries))]) @ self.axes
-        most, enough = PROJECTIONS - int(np.ceil(THRESHOLD * PROJECTIONS)), min(n, max(int(np.ceil(share * n)), 64))
-        first = self.windows(at, 0)
-        for k in range(len(queries)):
-            left, right, level = first[0][k], first[1][k], 0
-            while True:
-                outside = [i[:a] for i, a in zip(self.ids, left)] + [i[b:] for i, b in zip(self.ids, right)]
-                found = np.flatnonzero(np.bincount(np.concatenate(outside), minlength=n) <= most)
-                if len(found) >= enough or (left.max() == 0 and right.min() == n):
-                    break
-                level += 1
-                (left,), (right,) = self.windows(at[k : k + 1], level)
-            yield found
-
-    def reaching(self, rows: np.ndarray, near: np.ndarray, k: int) -> np.ndarray:
-        """All vectors whose product reaches the k-th of the rows', or all if there are fewer; near holds all products, roughly."""
-        if len(rows) < k:
-            return np.arange(len(near))
-        low = np.partition(near[rows], len(rows) - k)[len(rows) - k]
-        return np.flatnonzero(near >= low - 1e-9 * max(1.0, np.abs(near).max()))
-
-    def nearest(self, query: np.ndarray, rows: np.ndarray, near: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, scores) of the k largest inner products, ties to smaller ids; near holds all products, roughly."""
-        if len(rows) > k:
-            rough = near[rows]
-            rows = rows[rough >= np.partition(rough, len(rough) - k)[len(rough) - k] - 1e-9 * max(1.0, np.abs(rough).max())]
+        self.lengths = np.sqrt((vectors**2).sum(1))
+        axes = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, PROJECTIONS))
+        order = np.argsort(-self.lengths, kind="stable")
+        self.ranges, a = [], 0
+        while a < len(order):
+            b = a + int(np.searchsorted(-self.lengths[order[a:]], -RANGE * self.lengths[order[a]], "right"))
+            self.ranges.append(Range(vectors, order[a:b], self.lengths, axes))
+            a = b
+
+    def _verify(self, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """Exact inner products, summed in the order of components."""
         total = np.zeros(len(rows))
         for column, x in zip(self.columns, query):
             total += column[rows] * x
-        best = np.lexsort((ids[rows], -total))[:k]
-        return rows[best], total[best]
+        return total
+
+    def nearest(self, query: np.ndarray, k: int, but=None, exact: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
+        """(rows, scores, vectors verified) of the k largest inner products found, ties to smaller ids."""
+        length = float(np.sqrt((query**2).sum()))
+        best, score, verified = np.empty(0, np.int64), np.empty(0), 0
+
+        def merge(rows):
+            nonlocal best, score, verified
+            rows = rows[self.names[rows] != but] if but is not None else rows
+            verified += len(rows)
+            rough = self.vectors[rows] @ query
+            # Sums in another order differ by less than this.
+            slack = 1e-12 * length * self.lengths[rows].max(initial=0.0)
+            low = score[-1] if len(best) == k else np.partition(rough, len(rough) - k)[len(rough) - k] if len(rows) > k else -np.inf
+            rows = rows[rough >= low - slack]
+            best, score = np.append(best, rows), np.append(score, self._verify(query, rows))
+            top = np.lexsort((self.names[best], -score))[:k]
+            best, score = best[top], score[top]
+
+        for part in self.ranges:
+            if len(best) == k and length * part.top < score[-1] * (1 - 1e-12) - 1e-300:
+                break
+            if exact or len(part.rows) < SMALL:
+                merge(part.rows)
+                continue
+            n, least = len(part.rows), int(np.ceil(THRESHOLD * PROJECTIONS))
+            at = (query * (part.top / length)) @ part.axes[:-1]
+            width = part.width
+            left = right = np.array([np.searchsorted(v, x) for v, x in zip(part.values, at)])
+            hits, new = np.zeros(n, np.int16), np.ones(n, bool)
+            while True:
+                lo = np.array([np.searchsorted(v, x) for v, x in zip(part.values, at - width)])
+                hi = np.array([np.searchsorted(v, x, "right") for v, x in zip(part.values, at + width)])
+                fresh = [i[a:b] for i, a, b in zip(part.ids, lo, left)] + [i[a:b] for i, a, b in zip(part.ids, right, hi)]
+                hits += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int16)
+                left, right = lo, hi
+                found = np.flatnonzero(new & (hits >= least))
+                if len(found):
+                    new[found] = False
+                    merge(part.rows[found])
+                if not new.any():
+                    break
+                if len(best) == k:
+                    # Distance of the k-th best in the range's space, where the query has the range's length.
+                    apart = np.sqrt(max(2 * part.top**2 - 2 * part.top / length * score[-1], 0.0))
+                    if apart <= width:
+                        break
+                width *= WIDEN
+        return best, score, verified
 
 
-def _search(k: int, share: float):
+def _search(k: int, exact: bool):
     def run(block: pd.DataFrame) -> pd.DataFrame:
         mine, asked = block[~block["is_query"]], block[block["is_query"]]
-        out = {"query_id": [], "vec_id": [], "score": []}
+        out = {"query_id": [], "vec_id": [], "score": [], "verified": []}
         if len(mine) and len(asked):
-            ids, names = mine["vec_id"].to_numpy(), asked["vec_id"].to_numpy()
-            vectors, queries = np.array(mine["embedding"].tolist(), np.float64), np.array(asked["embedding"].tolist(), np.float64)
-            index = Index(vectors)
-            for a in range(0, len(queries), 256):
-                near = queries[a : a + 256] @ vectors.T
-                for j, rows in enumerate(index.candidates(queries[a : a + 256], share), a):
-                    rows = index.reaching(rows[ids[rows] != names[j]], near[j - a], k)
-                    rows, score = index.nearest(queries[j], rows[ids[rows] != names[j]], near[j - a], ids, k)
-                    out["query_id"] += [names[j]] * len(rows)
-                    out["vec_id"] += ids[rows].tolist()
-                    out["score"] += score.tolist()
-        return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+            index = Index(np.array(mine["embedding"].tolist(), np.float64), mine["vec_id"].to_numpy())
+            for name, query in zip(asked["vec_id"].tolist(), asked["embedding"]):
+                rows, score, verified = index.nearest(np.array(query, np.float64), k, name, exact)
+                out["query_id"] += [name] * len(rows)
+                out["vec_id"] += index.names[rows].tolist()
+                out["score"] += score.tolist()
+                out["verified"] += [verified] * len(rows)
+        return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64", "verified": "int64"})
 
     return run
 
 
-def nearest(vectors: DataFrame, is_query, k: int = 20, share: float = SHARE) -> DataFrame:
+def nearest(vectors: DataFrame, is_query, k: int = 20, exact: bool = False) -> DataFrame:
     """query_id, rank, vec_id, score of the k nearest of each row of vectors(vec_id, embedding) that is_query selects."""
     fine = F.size("embedding") > 0
     fine &= F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("embedding", lambda x: x != 0)
@@ -122,6 +151,6 @@ def nearest(vectors: DataFrame, is_query, k: int = 20, share: float = SHARE) ->
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     held = vectors.select("dim", "vec_id", "embedding", F.lit(False).alias("is_query"), deal(blocks, 1).alias("block"), every(query_blocks).alias("query_block"))
     asked = vectors.filter(is_query).select("dim", "vec_id", "embedding", F.lit(True).alias("is_query"), every(blocks).alias("block"), deal(query_blocks, 2).alias("query_block"))
-    found = held.unionByName(asked).groupBy("dim", "block", "query_block").applyInPandas(_search(k, share), "query_id long, vec_id long, score double")
+    found = held.unionByName(asked).groupBy("dim", "block", "query_block").applyInPandas(_search(k, exact), "query_id long, vec_id long, score double, verified long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
