@@ -101,14 +101,22 @@ def row_key():
     return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
 
 
+#: Rows of a table of decisions, of bounded width, up to which it is broadcast (a few MB).
+SMALL_ROWS = 200_000
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs less the documents of gone(doc_id, row_key). Only rows that may go are shuffled, by a bitmap of bounded size."""
+    """docs less the documents of gone(doc_id, row_key). A gone of at most SMALL_ROWS rows is broadcast; beyond that only
+    rows that may go are shuffled, by a bitmap of bounded size."""
     own, names = private(docs, "doc_id", "text")
-    own = own.withColumn("row_key", row_key()).withColumn("k", F.pmod(F.xxhash64("row_key"), F.lit(SIEVE_BITS)))
-    own = own.join(F.broadcast(sieve(gone.select("row_key"))), F.shiftright("k", 6) == F.col("sieve_cell"), "left")
-    own = own.withColumn("hit", F.coalesce(F.expr("(shiftright(sieve_bits, cast(k % 64 as int)) & 1) = 1"), F.lit(False)))
     gone = gone.select(F.col("doc_id").alias("gone_id"), F.col("row_key").alias("gone_key")).distinct()
-    stay = own.filter("hit").join(gone, (F.col("row_key") == F.col("gone_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
+    own = own.withColumn("row_key", row_key())
+    same = (F.col("row_key") == F.col("gone_key")) & F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id"))
+    if gone.count() <= SMALL_ROWS:
+        return own.join(F.broadcast(gone), same, "left_anti").select(*names).toDF(*names.values())
+    own = own.withColumn("k", F.pmod(F.xxhash64("row_key"), F.lit(SIEVE_BITS))).join(F.broadcast(sieve(gone.select("gone_key"))), F.shiftright("k", 6) == F.col("sieve_cell"), "left")
+    own = own.withColumn("hit", F.coalesce(F.expr("(shiftright(sieve_bits, cast(k % 64 as int)) & 1) = 1"), F.lit(False)))
+    stay = own.filter("hit").join(gone, same, "left_anti")
     return own.filter("not hit").select(*names).union(stay.select(*names)).toDF(*names.values())
 
 
