@@ -66,18 +66,15 @@ def glued(words: DataFrame, lexicon: DataFrame, shortest: int = 3) -> DataFrame:
     return cut.join(known.withColumnRenamed("word", "left"), ["lang", "left"], "left_semi").join(known.withColumnRenamed("word", "right"), ["lang", "right"], "left_semi").select("lang", "word", "left", "right")
 
 
-def split_pairs(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """lang, first, second, merged, n: neighbouring tokens(doc_id, lang, pos, word) whose concatenation is known."""
-    after = Window.partitionBy("doc_id").orderBy("pos")
-    pairs = tokens.withColumn("second", F.lead("word").over(after)).filter("second is not null").groupBy("lang", F.col("word").alias("first"), "second").agg(F.count("*").alias("n"))
-    pairs = pairs.withColumn("merged", F.concat("first", "second"))
-    return pairs.join(lexicon.select("lang", F.col("word").alias("merged")), ["lang", "merged"], "left_semi").select("lang", "first", "second", "merged", "n")
-
-
-def moved_letter(tokens: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """Neighbouring tokens of which the first's last letter belongs to the second: both repaired words are known."""
-    after = Window.partitionBy("doc_id").orderBy("pos")
-    pairs = tokens.withColumn("second", F.lead("word").over(after)).filter("second is not null and length(word) >= 3").select("lang", F.col("word").alias("first"), "second").distinct()
-    pairs = pairs.withColumn("left", F.expr("left(first, length(first) - 1)")).withColumn("right", F.expr("concat(right(first, 1), second)"))
+def split_pairs(pairs: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """lang, first, second, merged, n: neighbouring tokens(lang, first, second) whose concatenation is known."""
+    counted = pairs.groupBy("lang", "first", "second").agg(F.count("*").alias("n")).withColumn("merged", F.concat("first", "second"))
+    return counted.join(lexicon.select("lang", F.col("word").alias("merged")), ["lang", "merged"], "left_semi").select("lang", "first", "second", "merged", "n")
+
+
+def moved_letter(pairs: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """Neighbouring tokens(lang, first, second) of which the first's last letter belongs to the second: both repaired words are known."""
+    some = pairs.filter("length(first) >= 3").select("lang", "first", "second").distinct()
+    some = some.withColumn("left", F.expr("left(first, length(first) - 1)")).withColumn("right", F.expr("concat(right(first, 1), second)"))
     known = lexicon.select("lang", "word")
-    return pairs.join(known.withColumnRenamed("word", "left"), ["lang", "left"], "left_semi").join(known.withColumnRenamed("word", "right"), ["lang", "right"], "left_semi").select("lang", "first", "second", "left", "right")
+    return some.join(known.withColumnRenamed("word", "left"), ["lang", "left"], "left_semi").join(known.withColumnRenamed("word", "right"), ["lang", "right"], "left_semi").select("lang", "first", "second", "left", "right")

@@ -75,27 +75,19 @@ def zip_longest(left: DataFrame, right: DataFrame, ordinal: str, value: str) ->
     return left.select(ordinal, F.lit(0).alias("side"), value).unionByName(right.select(ordinal, F.lit(1).alias("side"), value))
 
 
-def next_tokens(tokens: DataFrame, least: int = 1) -> DataFrame:
-    """lang, word, successor, support: how often each token follows another."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    pairs = tokens.withColumn("successor", F.lead("word").over(w)).filter("successor is not null")
-    return pairs.groupBy("lang", "word", "successor").agg(F.count("*").alias("support")).filter(F.col("support") >= least)
+def next_tokens(pairs: DataFrame, least: int = 1) -> DataFrame:
+    """lang, word, successor, support: how often each token follows another; pairs(lang, first, second)."""
+    counted = pairs.groupBy("lang", F.col("first").alias("word"), F.col("second").alias("successor")).agg(F.count("*").alias("support"))
+    return counted.filter(F.col("support") >= least)
 
 
-def next_token_top1(tokens: DataFrame) -> DataFrame:
+def next_token_top1(pairs: DataFrame) -> DataFrame:
     """lang, word, successor, support: the likeliest successor of each token, ties to the smaller."""
     w = Window.partitionBy("lang", "word").orderBy(F.desc("support"), "successor")
-    return next_tokens(tokens).withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
+    return next_tokens(pairs).withColumn("rn", F.row_number().over(w)).filter("rn = 1").drop("rn")
 
 
 def presence_features(words: DataFrame) -> DataFrame:
-    """lang, feature, n: in how many words(lang, word) each 2-4-gram of ^word$ occurs."""
-    w = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
-    grams = lambda n: F.transform(F.when(F.length(w) >= n, F.sequence(F.lit(1), F.length(w) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substr(w, i, F.lit(n)))
-    return words.select("lang", F.explode(F.array_distinct(F.concat(grams(2), grams(3), grams(4)))).alias("feature")).groupBy("lang", "feature").agg(F.count("*").alias("n"))
-
-
-def fragment_features(words: DataFrame) -> DataFrame:
     """lang, feature, n: in how many words(lang, word) each 2-4-gram, marked edge of 1-5 letters or whole word up to 5 occurs."""
     w, size = F.col("word"), F.length("word")
     none = F.array().cast("array<string>")

@@ -93,8 +93,9 @@ def without_adjacent_repeats(df: DataFrame, keys: list[str], order: list[str], v
 
 
 def ema(df: DataFrame, keys: list[str], order: list[str], value: str, alpha: float) -> DataFrame:
-    """keys, n, ema: an exponential moving average in order of arrival."""
-    rows = df.groupBy(*keys).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct(*order, F.col(value).cast("double").alias("v")))).alias("rows"))
-    first = F.get(F.col("rows"), F.lit(0))["v"]
-    folded = F.aggregate(F.slice("rows", 2, F.greatest(F.size("rows") - 1, F.lit(0))), first, lambda s, r: s * (1 - alpha) + r["v"] * alpha)
-    return rows.select(*keys, "n", folded.alias("ema"))
+    """keys, n, ema: an exponential moving average in order of arrival, as a sum of weights by rank from the last; the
+    first value has what remains. No array holds a key's rows."""
+    back = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])) - 1
+    sized = df.withColumn("back", back).join(df.groupBy(*keys).agg(F.count("*").alias("n")), keys)
+    weight = F.pow(F.lit(1.0 - alpha), F.col("back")) * F.when(F.col("back") == F.col("n") - 1, 1.0).otherwise(alpha)
+    return sized.groupBy(*keys).agg(F.max("n").alias("n"), F.sum(weight * F.col(value).cast("double")).alias("ema"))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from keyloom.functions import distance, text as X
-from keyloom.operators import candidates, corpus, decide, journal, ngram, rank
+from keyloom.operators import candidates, contexts, corpus, decide, journal, ngram, rank
 from keyloom.sources import text as sources
 from keyloom.streaming import batch
 
@@ -121,40 +121,28 @@ def ngram_score(spark, d):
     return scored.withColumn("rn", rn).filter("rn <= 5").withColumn("rn", F.col("rn").cast("long"))
 
 
-@query(f"""WITH {_TOK}, pairs AS (SELECT lang, word, substr(word, 2, 1) || substr(word, 1, 1) || substr(word, 3) AS candidate FROM voc WHERE length(word) >= 4 AND cnt >= 20 AND substr(word, 1, 1) <> substr(word, 2, 1)),
+@query(f"""WITH {_TOK}, pairs AS (SELECT lang, word, substr(word, 2, 1) || substr(word, 1, 1) || substr(word, 3) AS candidate FROM voc WHERE length(word) >= 4 AND substr(word, 1, 1) <> substr(word, 2, 1)),
 both_ AS (SELECT lang, word FROM pairs UNION SELECT lang, candidate FROM pairs), {_GRAM.format(words='both_')},
 sc AS (SELECT gr.lang, word, sum(ln((coalesce(model.cnt, 0) + 1) / (total + vocab))) AS score FROM gr LEFT JOIN model USING (lang, gram) JOIN tot USING (lang) GROUP BY ALL)
 SELECT p.lang, p.word, p.candidate, round(b.score - a.score, 5) AS margin FROM pairs p JOIN sc a ON a.lang = p.lang AND a.word = p.word JOIN sc b ON b.lang = p.lang AND b.word = p.candidate""")
 def ngram_margin_swap(spark, d):
-    words = _vocabulary(spark, d)
-    pairs = words.filter("length(word) >= 4 AND cnt >= 20 AND substr(word, 1, 1) <> substr(word, 2, 1)").select("lang", "word", F.expr("substr(word, 2, 1) || substr(word, 1, 1) || substr(word, 3)").alias("candidate"))
-    return ngram.margins(pairs, ngram.train(words)).withColumn("margin", F.round("margin", 5))
-
-
-@query()
-def ngram_margin_swap_all(spark, d):
-    """ngram_margin_swap over the whole vocabulary."""
     words = _vocabulary(spark, d)
     pairs = words.filter("length(word) >= 4 AND substr(word, 1, 1) <> substr(word, 2, 1)").select("lang", "word", F.expr("substr(word, 2, 1) || substr(word, 1, 1) || substr(word, 3)").alias("candidate"))
     return ngram.margins(pairs, ngram.train(words)).withColumn("margin", F.round("margin", 5))
 
 
-@query(f"""WITH {_TOK}, f AS (SELECT lang, unnest(list_distinct(list_concat(list_concat(list_transform(range(1, length(word) + 2), lambda i: substr('^' || word || '$', i, 2)), list_transform(range(1, length(word) + 1), lambda i: substr('^' || word || '$', i, 3))), list_transform(range(1, length(word)), lambda i: substr('^' || word || '$', i, 4))))) AS feature FROM voc)
+@query(f"""WITH {_TOK}, w AS (SELECT lang, word, length(word) AS n FROM voc),
+f AS (SELECT lang, unnest(list_distinct(flatten([list_transform(range(1, n), lambda i: substr(word, i, 2)), list_transform(range(1, n - 1), lambda i: substr(word, i, 3)), list_transform(range(1, n - 2), lambda i: substr(word, i, 4)), list_transform(range(1, least(n, 5) + 1), lambda i: '^' || substr(word, 1, i)), list_transform(range(1, least(n, 5) + 1), lambda i: right(word, i) || '$'), CASE WHEN n <= 5 THEN ['^' || word || '$'] ELSE [] END]))) AS feature FROM w)
 SELECT lang, feature, count(*) AS n FROM f GROUP BY ALL""")
 def presence_features(spark, d):
     return corpus.presence_features(_vocabulary(spark, d))
 
 
-@query()
-def fragment_features(spark, d):
-    """presence_features with all marked edges and short whole words of the reference."""
-    return corpus.fragment_features(_vocabulary(spark, d))
-
-
 @query(f"WITH {_TOK}, o AS (SELECT lang, word, min((doc_id, pos)) AS first FROM tok GROUP BY ALL) SELECT lang, word, row_number() OVER (PARTITION BY lang ORDER BY first) AS rank FROM o")
 def lexicon_first_rank(spark, d):
     first = _tokens(spark, d).groupBy("lang", "word").agg(F.min(F.struct("doc_id", "pos")).alias("first"))
-    return first.select("lang", "word", F.row_number().over(Window.partitionBy("lang").orderBy("first")).cast("long").alias("rank"))
+    placed = rank.ordinal(first, ["lang"], F.floor(F.col("first.doc_id") / 64), ["first"], "rank")
+    return placed.select("lang", "word", F.col("rank").cast("long").alias("rank"))
 
 
 # Candidates
@@ -197,15 +185,10 @@ def vowel_confusion_candidates(spark, d):
     return candidates.class_substitutions(words.filter("cnt < 5"), words.filter("cnt >= 5"), classes)
 
 
-@query(f"WITH {_TOK}, b AS (SELECT * FROM voc WHERE cnt >= 20) SELECT a.lang, a.word, b.word AS candidate FROM b a JOIN b ON a.lang = b.lang AND a.word <> b.word AND abs(length(a.word) - length(b.word)) <= 1 AND damerau_levenshtein(translate(a.word, '{_WIDE}', '{_BYTE}'), translate(b.word, '{_WIDE}', '{_BYTE}')) = 1")
+@query(f"""WITH {_TOK}, k AS (SELECT DISTINCT lang, word, unnest(list_concat([word], list_transform(range(1, length(word) + 1), lambda i: substr(word, 1, i - 1) || substr(word, i + 1)))) AS key FROM voc),
+p AS (SELECT DISTINCT a.lang, a.word, b.word AS candidate FROM k a JOIN k b ON a.lang = b.lang AND a.key = b.key AND a.word <> b.word)
+SELECT lang, word, candidate FROM p WHERE abs(length(word) - length(candidate)) <= 1 AND damerau_levenshtein(translate(word, '{_WIDE}', '{_BYTE}'), translate(candidate, '{_WIDE}', '{_BYTE}')) = 1""")
 def deletion_key_neighbors(spark, d):
-    words = _vocabulary(spark, d).filter("cnt >= 20")
-    return candidates.neighbours(words, words)
-
-
-@query()
-def deletion_key_neighbors_all(spark, d):
-    """deletion_key_neighbors over the whole vocabulary, rare words too."""
     words = _vocabulary(spark, d)
     return candidates.neighbours(words, words)
 
@@ -219,8 +202,8 @@ def prefix_completion_topk(spark, d):
     return candidates.completions(prefixes, words, 5).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"""WITH {_COMMON}, s AS (SELECT lang, word, unnest(range(1, length(word))) AS i FROM rare), x AS (SELECT lang, word, substr(word, 1, i) AS left_, substr(word, i + 1) AS right_ FROM s)
-SELECT x.lang, x.word, left_ AS "left", right_ AS "right" FROM x WHERE length(left_) >= 3 AND length(right_) >= 3 AND EXISTS (SELECT 1 FROM lex WHERE lex.lang = x.lang AND lex.word = left_) AND EXISTS (SELECT 1 FROM lex WHERE lex.lang = x.lang AND lex.word = right_)""")
+@query(f"""WITH {_COMMON}, s AS (SELECT lang, word, unnest(range(3, length(word) - 2)) AS i FROM rare WHERE length(word) >= 6), x AS (SELECT lang, word, substr(word, 1, i) AS left_, substr(word, i + 1) AS right_ FROM s)
+SELECT x.lang, x.word, left_ AS "left", right_ AS "right" FROM x JOIN lex a ON a.lang = x.lang AND a.word = left_ JOIN lex b ON b.lang = x.lang AND b.word = right_""")
 def boundary_split(spark, d):
     words = _vocabulary(spark, d)
     return candidates.glued(words.filter("cnt < 5"), words.filter("cnt >= 5"))
@@ -229,14 +212,14 @@ def boundary_split(spark, d):
 @query(f"""WITH {_COMMON}, n AS (SELECT lang, word AS first, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS second FROM tok)
 SELECT n.lang, first, second, first || second AS merged, count(*) AS n FROM n JOIN lex ON lex.lang = n.lang AND lex.word = first || second WHERE second IS NOT NULL GROUP BY ALL""")
 def split_pair_merge(spark, d):
-    return candidates.split_pairs(_tokens(spark, d), _common(spark, d))
+    return candidates.split_pairs(contexts.pairs(read(spark, d, "documents")), _common(spark, d))
 
 
 @query(f"""WITH {_COMMON}, n AS (SELECT DISTINCT lang, word AS first, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS second FROM tok),
 m AS (SELECT *, substr(first, 1, length(first) - 1) AS l, substr(first, length(first), 1) || second AS r FROM n WHERE second IS NOT NULL AND length(first) >= 3)
 SELECT m.lang, first, second, l AS "left", r AS "right" FROM m JOIN lex a ON a.lang = m.lang AND a.word = l JOIN lex b ON b.lang = m.lang AND b.word = r""")
 def moved_letter_pairs(spark, d):
-    return candidates.moved_letter(_tokens(spark, d), _common(spark, d))
+    return candidates.moved_letter(contexts.pairs(read(spark, d, "documents")), _common(spark, d))
 
 
 # Ranking
@@ -281,7 +264,7 @@ def value_counts_topk(spark, d):
 @query(f"""WITH {_TOK}, f AS (SELECT doc_id, lang, pos, word, array_to_string(list_concat(list_concat(list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 2 PRECEDING AND 1 PRECEDING), ['_']), list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 1 FOLLOWING AND 2 FOLLOWING)), ' ') AS context FROM tok),
 g AS (SELECT lang, word, context, min((doc_id, pos)) AS first FROM f GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY lang, word ORDER BY first) AS rn FROM g) SELECT lang, word, context, rn FROM r WHERE rn <= 4""")
 def context_frame_2(spark, d):
-    return rank.context_frames(_tokens(spark, d)).withColumn("rn", F.col("rn").cast("long"))
+    return rank.context_frames(contexts.frames(read(spark, d, "documents"))).withColumn("rn", F.col("rn").cast("long"))
 
 
 @query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, event_type, n, max(n) OVER (PARTITION BY user_id) - n AS lead_by FROM c QUALIFY lead_by <= 2""")
@@ -303,9 +286,7 @@ def lane_quota_topk(spark, d):
 @query(f"""WITH {_TOK}, c AS (SELECT doc_id, pos, word, list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS ctx FROM tok), k AS (SELECT unnest(list_transform(range(1, least(5, len(ctx)) + 1), lambda n: array_to_string(ctx[len(ctx) - n + 1 : len(ctx)], ' '))) AS key, word FROM c)
 SELECT key, word, count(*) AS cnt FROM k WHERE key IS NOT NULL GROUP BY ALL HAVING count(*) >= 3""")
 def context_backoff_keys(spark, d):
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(-5, -1)
-    keyed = _tokens(spark, d).withColumn("ctx", F.collect_list("word").over(w)).select(F.explode(journal.backoff_keys(F.col("ctx"))).alias("key"), "word")
-    return keyed.groupBy("key", "word").agg(F.count("*").alias("cnt")).filter("cnt >= 3")
+    return contexts.backoff(read(spark, d, "documents")).groupBy("key", "word").agg(F.count("*").alias("cnt")).filter("cnt >= 3")
 
 
 @query("""WITH b AS (SELECT user_id % 10 AS source, event_type AS operation, event_id % 7 AS state, count(*) AS w FROM events GROUP BY ALL)
@@ -435,7 +416,7 @@ def heldout_hash_split(spark, d):
 
 @query(f"WITH {_TOK}, n AS (SELECT lang, word, lead(word) OVER (PARTITION BY doc_id ORDER BY pos) AS successor FROM tok), c AS (SELECT lang, word, successor, count(*) AS support FROM n WHERE successor IS NOT NULL GROUP BY ALL) SELECT lang, word, successor, support FROM c QUALIFY row_number() OVER (PARTITION BY lang, word ORDER BY support DESC, successor) = 1")
 def next_token_top1(spark, d):
-    return corpus.next_token_top1(_tokens(spark, d))
+    return corpus.next_token_top1(contexts.pairs(read(spark, d, "documents")))
 
 
 @query(f"WITH {_TOK}, w AS (SELECT lang, word, 1 + least(7, floor(log2(cnt))::BIGINT) AS n FROM voc) SELECT lang, sum(n)::BIGINT AS copies, max(n) AS most FROM w GROUP BY lang")
@@ -484,20 +465,12 @@ def threshold_sweep(spark, d):
     return corpus.threshold_sweep(e, "value", "y", [5.0, 10.0, 20.0, 40.0])
 
 
-@query("""WITH p AS (SELECT a.doc_id, a.text AS x, b.text AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1), q AS (SELECT doc_id, x[1:200] AS x, y[1:200] AS y FROM p),
-l AS (SELECT *, len(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: substr(x, 1, i) = substr(y, 1, i))) AS lead_, len(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: right(x, i) = right(y, i))) AS tail0 FROM q), m AS (SELECT *, least(tail0, least(length(x), length(y)) - lead_) AS tail FROM l)
-SELECT doc_id, tail AS move_left, length(x) - lead_ - tail AS backspaces, substr(y, lead_ + 1, length(y) - lead_ - tail) AS "insert" FROM m""")
+@query("""WITH RECURSIVE p AS (SELECT a.doc_id, a.text AS x, b.text AS y, least(length(a.text), length(b.text)) AS n FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1),
+h AS (SELECT doc_id, 0 AS lo, n AS hi FROM p UNION ALL SELECT h.doc_id, CASE WHEN left(x, (lo + hi + 1) // 2) = left(y, (lo + hi + 1) // 2) THEN (lo + hi + 1) // 2 ELSE lo END, CASE WHEN left(x, (lo + hi + 1) // 2) = left(y, (lo + hi + 1) // 2) THEN hi ELSE (lo + hi + 1) // 2 - 1 END FROM h JOIN p ON p.doc_id = h.doc_id WHERE lo < hi),
+l AS (SELECT p.*, lo AS lead_ FROM p JOIN h ON p.doc_id = h.doc_id AND lo = hi),
+t AS (SELECT doc_id, 0 AS lo, n - lead_ AS hi FROM l UNION ALL SELECT t.doc_id, CASE WHEN right(x, (lo + hi + 1) // 2) = right(y, (lo + hi + 1) // 2) THEN (lo + hi + 1) // 2 ELSE lo END, CASE WHEN right(x, (lo + hi + 1) // 2) = right(y, (lo + hi + 1) // 2) THEN hi ELSE (lo + hi + 1) // 2 - 1 END FROM t JOIN l ON l.doc_id = t.doc_id WHERE lo < hi)
+SELECT l.doc_id, lo AS move_left, length(x) - lead_ - lo AS backspaces, substr(y, lead_ + 1, length(y) - lead_ - lo) AS "insert" FROM l JOIN t ON l.doc_id = t.doc_id AND lo = hi""")
 def edit_plan(spark, d):
-    docs = read(spark, d, "documents")
-    head = lambda c: F.substring(c, 1, 200)  # noqa: E731  the texts before the cursor of a line, at most 200 characters
-    pairs = docs.select("doc_id", head("text").alias("x")).join(docs.select((F.col("doc_id") - 1).alias("doc_id"), head("text").alias("y")), "doc_id")
-    e = pairs.select("doc_id", X.common_affix_edit(F.col("x"), F.col("y")).alias("e")).select("doc_id", "e.*")
-    return e.select("doc_id", F.col("move_left").cast("long").alias("move_left"), F.col("backspaces").cast("long").alias("backspaces"), "insert")
-
-
-@query()
-def edit_plan_whole(spark, d):
-    """edit_plan over whole texts; the tests hold it against brute force."""
     docs = read(spark, d, "documents")
     pairs = docs.select("doc_id", F.col("text").alias("x")).join(docs.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("y")), "doc_id")
     return pairs.select("doc_id", distance.whole_text_edit("x", "y").alias("e")).select("doc_id", "e.*")
@@ -517,18 +490,10 @@ def candidate_map(spark, d):
     return decide.candidate_map(texts, "id", "text").select("id", "ord", "name", "candidate")
 
 
-@query(f"""WITH {_COMMON}, w AS (SELECT lang, word FROM voc WHERE cnt = 4), gw AS (SELECT DISTINCT lang, word, unnest(list_transform(range(1, length(word) + 2), lambda i: substr('^^' || word || '$', i, 3))) AS gram FROM w),
+@query(f"""WITH {_COMMON}, w AS (SELECT lang, word FROM voc WHERE cnt < 5), gw AS (SELECT DISTINCT lang, word, unnest(list_transform(range(1, length(word) + 2), lambda i: substr('^^' || word || '$', i, 3))) AS gram FROM w),
 gl AS (SELECT DISTINCT lang, word AS candidate, unnest(list_transform(range(1, length(word) + 2), lambda i: substr('^^' || word || '$', i, 3))) AS gram FROM lex), o AS (SELECT gw.lang, gw.word, candidate, count(*) AS overlap FROM gw JOIN gl USING (lang, gram) WHERE gw.word <> candidate GROUP BY ALL HAVING count(*) >= 3)
 SELECT lang, word, candidate, overlap, place FROM (SELECT *, row_number() OVER (PARTITION BY lang, word ORDER BY overlap DESC, candidate) AS place FROM o) WHERE place <= 4""")
 def surface_overlap_candidates(spark, d):
-    words = _vocabulary(spark, d)
-    found = decide.overlap_candidates(words.filter("cnt = 4"), words.filter("cnt >= 5"), 3, 4)
-    return found.select("lang", "word", "candidate", F.col("overlap").cast("long").alias("overlap"), F.col("place").cast("long").alias("place"))
-
-
-@query()
-def surface_overlap_candidates_all(spark, d):
-    """surface_overlap_candidates of all rare words."""
     words = _vocabulary(spark, d)
     found = decide.overlap_candidates(words.filter("cnt < 5"), words.filter("cnt >= 5"), 3, 4)
     return found.select("lang", "word", "candidate", F.col("overlap").cast("long").alias("overlap"), F.col("place").cast("long").alias("place"))
@@ -549,12 +514,19 @@ def typing_confidence(spark, d):
     return decide.confidence(rows, "l_orderkey", 5.0)
 
 
-@query("""WITH p AS (SELECT a.conv_id, a.turn, a.text AS x, b.text AS y FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn + 1)
-SELECT conv_id, turn, array_to_string(list_filter([CASE WHEN y = '' THEN 'empty' END, CASE WHEN y = x THEN 'unchanged' END, CASE WHEN length(y) > length(x) * 2 + 8 THEN 'long_growth' END, CASE WHEN contains(y, chr(10)) THEN 'line_break' END, CASE WHEN contains(x, '://') AND NOT contains(y, '://') THEN 'technical_lost' END, CASE WHEN regexp_replace(x, '[^0-9]', '', 'g') <> regexp_replace(y, '[^0-9]', '', 'g') THEN 'digits_changed' END], lambda x: x IS NOT NULL), ',') AS reasons FROM p""")
+@query(r"""WITH e AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'candidate_before_apply' WHEN 'view' THEN 'candidate_before_apply' ELSE 'replacement' END AS kind, CASE WHEN user_id % 3 = 0 THEN 'block_unsafe' ELSE 'apply' END AS action_kind, event_id % 5 <> 0 AS safety, event_id % 7 = 0 AS boundary, event_id % 11 = 0 AS word_count, event_id % 13 = 0 AS non_last, event_id % 4 AS touch, event_id % 6 = 0 AS moved, event_id % 12 <> 0 AS verified, event_type || ' ' || props AS from_, CASE event_id % 3 WHEN 0 THEN event_type || ' x ' || props WHEN 1 THEN 'other ' || props ELSE '' END AS to_, CASE WHEN user_id % 2 = 0 THEN 'nanda' ELSE 'rules' END AS src FROM events),
+w AS (SELECT *, list_filter(regexp_split_to_array(from_, '\s+'), lambda x: x <> '') AS x, list_filter(regexp_split_to_array(to_, '\s+'), lambda x: x <> '') AS y FROM e)
+SELECT event_id, CASE WHEN kind = 'candidate_before_apply' THEN CASE WHEN action_kind = 'block_unsafe' AND NOT safety THEN '' ELSE array_to_string(list_filter([CASE WHEN boundary OR word_count THEN 'boundary_changed' END, CASE WHEN non_last OR touch > 1 THEN 'multiword_touch' END, CASE WHEN NOT safety THEN 'safety_block' END, CASE WHEN moved THEN 'transition_left_context_changed' END, CASE WHEN moved AND NOT verified THEN 'unverified_transition' END], lambda v: v IS NOT NULL), ',') END
+WHEN from_ <> '' AND to_ <> '' THEN array_to_string(list_filter([CASE WHEN len(x) <> len(y) THEN 'word_count_changed' END, CASE WHEN len(x) >= 2 AND len(x) = len(y) AND x[1:len(x) - 1] <> y[1:len(y) - 1] THEN 'left_context_changed' END, CASE WHEN src = 'nanda' AND len(x) >= 2 THEN 'nanda_multiword' END], lambda v: v IS NOT NULL), ',') ELSE '' END AS reasons FROM w""")
 def unsafe_reasons(spark, d):
-    c = read(spark, d, "conversations")
-    pairs = c.select("conv_id", "turn", F.col("text").alias("x")).join(c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("y")), ["conv_id", "turn"])
-    return pairs.select("conv_id", "turn", F.array_join(decide.unsafe_reasons(F.col("y"), F.col("x")), ",").alias("reasons"))
+    # Journal records made of events: their fields are what the rules read.
+    e, id_, user = read(spark, d, "events"), F.col("event_id"), F.col("user_id")
+    fields = {
+        "kind": F.when(F.col("event_type").isin("click", "view"), "candidate_before_apply").otherwise("replacement"), "action_kind": F.when(user % 3 == 0, "block_unsafe").otherwise("apply"), "safety_allow_apply": id_ % 5 != 0,
+        "boundary_changed": id_ % 7 == 0, "word_count_changed": id_ % 11 == 0, "changes_non_last_word": id_ % 13 == 0, "would_touch_words": id_ % 4, "transition_left_context_changed": id_ % 6 == 0, "transition_verified": id_ % 12 != 0,
+        "from": F.concat_ws(" ", "event_type", "props"), "to": F.when(id_ % 3 == 0, F.concat(F.col("event_type"), F.lit(" x "), F.col("props"))).when(id_ % 3 == 1, F.concat(F.lit("other "), F.col("props"))).otherwise(""), "selected_source": F.when(user % 2 == 0, "nanda").otherwise("rules"),
+    }
+    return e.select("event_id", F.array_join(decide.unsafe_reasons(fields.get), ",").alias("reasons"))
 
 
 @query("""WITH r AS (SELECT l_orderkey, l_extendedprice AS score, (l_returnflag = 'R')::INT AS label, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(l_extendedprice, 6) DESC, l_linenumber) = 1 AS best FROM lineitem)
@@ -569,10 +541,10 @@ def hashed_sample(spark, d):
     return decide.hashed_sample(read(spark, d, "events"), F.col("event_id"), 500).select("event_id", "event_type")
 
 
-@query("WITH c AS (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS cell FROM embeddings) SELECT label, cell, round(avg(v::DOUBLE), 6) AS mean, count(*) AS n FROM c GROUP BY ALL")
+@query("WITH c AS (SELECT label, unnest(embedding) AS v, unnest(range(len(embedding))) AS cell FROM embeddings) SELECT label, cell, round(atan2(avg(sin(v::DOUBLE)), avg(cos(v::DOUBLE))), 5) AS mean, count(*) AS n FROM c GROUP BY ALL")
 def phase_centers(spark, d):
     found = decide.centers(read(spark, d, "embeddings"), "label", "embedding")
-    return found.select("label", F.col("cell").cast("long").alias("cell"), F.round("mean", 6).alias("mean"), "n")
+    return found.select("label", F.col("cell").cast("long").alias("cell"), F.round("mean", 5).alias("mean"), "n")
 
 
 @query("""WITH j AS (SELECT event_type, json_extract_string(props, '$.k')::BIGINT AS k, value FROM events) SELECT event_type, CASE WHEN k <= 2 THEN '0-2' WHEN k = 3 THEN '3' WHEN k <= 7 THEN '4-7' ELSE '8+' END AS depth, count(*) AS n, round(avg(value), 6) AS mean, min(k) AS least FROM j GROUP BY ALL""")
@@ -600,13 +572,15 @@ def grouped_cases(spark, d):
     return sources.grouped_cases(rows)
 
 
-@query(f"""WITH {_TOK}, l AS (SELECT word, bool_or(lang = 'en') AS en, bool_or(lang = 'de') AS ru, sum(CASE WHEN lang = 'en' THEN cnt ELSE 0 END) AS a, sum(CASE WHEN lang = 'de' THEN cnt ELSE 0 END) AS b FROM voc GROUP BY word)
-SELECT word, CASE WHEN en AND NOT ru THEN 'english' WHEN ru AND NOT en THEN 'russian' WHEN a = 0 AND b = 0 THEN 'ambiguous' WHEN a > b THEN 'english' ELSE 'russian' END AS layout FROM l""")
+@query(f"""WITH {_TOK}, l AS (SELECT word, coalesce(bool_or(lang = 'en' AND cnt >= 5), false) AS en, coalesce(bool_or(lang = 'de' AND cnt >= 5), false) AS ru, sum(CASE WHEN lang = 'en' THEN cnt ELSE 0 END) AS a, sum(CASE WHEN lang = 'de' THEN cnt ELSE 0 END) AS b FROM voc GROUP BY word)
+SELECT word, CASE WHEN contains(word, '-') THEN 'special' WHEN length(word) > 20 THEN 'unavailable' WHEN en THEN 'english' WHEN ru THEN 'russian' WHEN a = 0 AND b = 0 THEN 'ambiguous' WHEN a > b THEN 'english' ELSE 'russian' END AS layout FROM l""")
 def layout_decision(spark, d):
-    # Two of the corpus languages stand in for the two layouts' lexicons.
+    # Two of the corpus languages stand in for the two layouts' lexicons: frequent words are known, hyphens special.
     side = lambda v: F.sum(F.when(F.col("lang") == v, F.col("cnt")).otherwise(0))
-    counts = _vocabulary(spark, d).groupBy("word").agg(F.bool_or(F.col("lang") == "en").alias("en"), F.bool_or(F.col("lang") == "de").alias("ru"), side("en").alias("a"), side("de").alias("b"))
-    return counts.select("word", decide.layout_decision(F.col("a"), F.col("b"), F.col("en"), F.col("ru")).alias("layout"))
+    known = lambda v: F.coalesce(F.bool_or((F.col("lang") == v) & (F.col("cnt") >= 5)), F.lit(False))
+    counts = _vocabulary(spark, d).groupBy("word").agg(known("en").alias("en"), known("de").alias("ru"), side("en").alias("a"), side("de").alias("b"))
+    status = lambda c: decide.layout_status(F.col(c), F.col("word").contains("-"), F.length("word") <= 20)
+    return counts.select("word", decide.layout_decision(status("en"), status("ru"), F.col("a"), F.col("b")).alias("layout"))
 
 
 @query(r"""SELECT DISTINCT token, regexp_extract(token, '^([^\p{L}\p{N}]*)', 1) AS lead, CASE WHEN regexp_matches(token, '[\p{L}\p{N}]') THEN regexp_extract(token, '([^\p{L}\p{N}]*)$', 1) ELSE '' END AS trail FROM (SELECT unnest(regexp_split_to_array(text, '\s+')) AS token FROM documents) WHERE token <> ''""")
@@ -652,8 +626,8 @@ def candidate_posterior(spark, d):
 
 @query(f"WITH {_TOK} SELECT doc_id, pos, word, list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING)[1] AS oldest, count(*) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 24 PRECEDING AND 1 PRECEDING) AS n FROM tok")
 def completed_tail_context(spark, d):
-    w = Window.partitionBy("doc_id").orderBy("pos").rowsBetween(-24, -1)
-    return _tokens(spark, d).select("doc_id", F.col("pos").cast("long").alias("pos"), "word", F.first("word").over(w).alias("oldest"), F.count("*").over(w).alias("n"))
+    at = F.transform("words", lambda w, i: F.struct(i.cast("long").alias("pos"), w.alias("word"), F.when(i > 0, F.get("words", F.greatest(i - 24, F.lit(0)))).alias("oldest"), F.least(i, F.lit(24)).cast("long").alias("n")))
+    return contexts.token_arrays(read(spark, d, "documents")).select("doc_id", F.explode(at).alias("x")).select("doc_id", "x.*")
 
 
 @query("""WITH m AS (SELECT event_type AS map_name, user_id AS key, count(*) AS cnt FROM events GROUP BY ALL), k AS (SELECT key, count(*) AS maps FROM m GROUP BY key)

@@ -28,10 +28,10 @@ def bursts(events: DataFrame, key: str, order: list[str], ts: str, gap_s: float)
 
 
 def outcomes(events: DataFrame, key: str, order: list[str], ts: str, proposal: Column, outcome: Column, columns: list[str], within_s: float) -> DataFrame:
-    """Each proposal row with the first later outcome row of its key within the time: one sorted pass, no range join."""
-    after = Window.partitionBy(key).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
+    """Each proposal row with the first later outcome row of its key within the time: one pass in descending order, no range join."""
+    after = Window.partitionBy(key).orderBy(*[F.desc(c) for c in order]).rowsBetween(Window.unboundedPreceding, -1)
     cell = F.when(outcome, F.struct(F.col(ts).alias("ts"), *[F.col(c) for c in columns]))
-    found = events.withColumn("hit", F.first(cell, ignorenulls=True).over(after)).filter(proposal)
+    found = events.withColumn("hit", F.last(cell, ignorenulls=True).over(after)).filter(proposal)
     late = _seconds("hit.ts") - _seconds(ts) > within_s
     return found.withColumn("hit", F.when(~late, F.col("hit")))
 
