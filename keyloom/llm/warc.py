@@ -63,12 +63,12 @@ def write_archives(pages: DataFrame, path: str, records: int = RECORDS) -> None:
 def _records(rows: DataFrame, later: DataFrame) -> DataFrame:
     """The records of rows; later: pages that revisit."""
     digest, length = F.sha2(F.col("html").cast("binary"), 256), F.octet_length("html")
-    rows = rows.withColumn("digest", digest).withColumn("k", F.pmod(F.xxhash64("page_id"), F.lit(SIEVE_BITS)))
+    rows = rows.withColumn("k", F.pmod(F.xxhash64("page_id"), F.lit(SIEVE_BITS)))
     rows = rows.join(F.broadcast(sieve(later.select("page_id"))), F.shiftright("k", 6) == F.col("sieve_cell"), "left")
     rows = rows.withColumn("hit", F.coalesce(F.expr("(shiftright(sieve_bits, cast(k % 64 as int)) & 1) = 1"), F.lit(False))).drop("k", "sieve_cell", "sieve_bits")
-    hit = rows.filter("hit")
-    hit = hit.join(later, (hit["page_id"] == later["page_id"]) & (F.col("digest") == F.col("of")), "left").drop(later["page_id"]).drop("of")
-    found = rows.filter("not hit").withColumn("original", F.lit(None).cast("long")).unionByName(hit)
+    later = later.select(F.col("page_id").alias("later_id"), "of", "original")
+    hit = rows.filter("hit").withColumn("digest", digest).join(later, (F.col("page_id") == F.col("later_id")) & (F.col("digest") == F.col("of")), "left").drop("later_id", "of")
+    found = rows.filter("not hit").withColumn("digest", digest).withColumn("original", F.lit(None).cast("long")).unionByName(hit)
     revisit = F.col("original").isNotNull()
     uri = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7f]", "%20")
     record = lambda c: F.concat(F.lit("<urn:page:"), c.cast("string"), F.lit(">"))
