@@ -76,17 +76,20 @@ class Index:
         self.n, self.labels, self.weight = n, labels.astype(np.float64), weight.astype(np.float32)
         self.blocks = max(1, -(-n // BLOCK))
         df = np.bincount(term, minlength=len(weight))
-        w = ((1 + np.log(count)) * weight[term]).astype(np.float32)
-        length = np.sqrt(np.bincount(example, w.astype(np.float64) ** 2, n))
-        w /= np.maximum(length[example], 1e-12).astype(np.float32)
+        w = np.log(count, dtype=np.float32)
+        w += 1
+        w *= self.weight[term]
+        first = np.searchsorted(example, np.arange(n + 1))
+        length = np.array([np.sqrt(np.dot(w[a:b], w[a:b])) for a, b in zip(first, first[1:])], np.float32)
+        w /= np.maximum(length, 1e-12)[example]
         # Terms by kind, and the number of a frequent or common term among its kind.
         self.kind = np.where(df < FREQUENT, 0, np.where(df < max(COMMON * n, FREQUENT), 1, 2)).astype(np.int8)
         self.row = np.where(self.kind == 2, np.cumsum(self.kind == 2) - 1, np.cumsum(self.kind == 1) - 1).astype(np.int32)
         self.common, common = np.zeros((int((self.kind == 2).sum()), self.blocks * BLOCK), np.float32), self.kind[term] == 2
         self.common[self.row[term[common]], example[common]] = w[common]
-        listed = np.flatnonzero(~common)
-        listed = listed[np.argsort(term[listed], kind="stable")]
-        self.doc, self.w = example[listed].astype(np.int32), w[listed]
+        term, example, w = term[~common], example[~common], w[~common]
+        order = np.argsort(term, kind="stable").astype(np.int32)
+        self.doc, self.w = example[order], w[order]
         self.at = np.concatenate([[0], np.cumsum(np.where(self.kind == 2, 0, df))]).astype(np.int32)
         frequent, edges = np.flatnonzero(self.kind == 1), np.arange(self.blocks + 1) * BLOCK
         self.most, self.cuts = np.zeros((len(frequent), self.blocks), np.float32), np.zeros((len(frequent), self.blocks + 1), np.int32)
@@ -183,14 +186,21 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _build(found: pd.DataFrame, share: float) -> dict:
-    """The model of examples(doc_id, toxic, words, counts)."""
+    """The model of examples(doc_id, toxic, words, counts), which it empties: a driver has little memory."""
     sizes = found["words"].map(len).to_numpy() // 8
-    found = found.iloc[np.lexsort((found["doc_id"].to_numpy(), sizes))]
-    sizes, labels, n = np.sort(sizes), found["toxic"].to_numpy(np.int64), len(found)
-    vocabulary, term = np.unique(np.frombuffer(b"".join(found["words"]), "<u8"), return_inverse=True)
-    example, count = np.repeat(np.arange(n), sizes), np.frombuffer(b"".join(found["counts"]), "<i4")
+    order = np.lexsort((found["doc_id"].to_numpy(), sizes))
+    labels, ids, sizes, n = found["toxic"].to_numpy(np.int64)[order], found["doc_id"].to_numpy(np.int64)[order], sizes[order], len(found)
+    take = lambda name, dtype: np.frombuffer(b"".join(found.pop(name).to_numpy()[order]), dtype)
+    h = take("words", "<u8")
+    vocabulary = np.sort(h)
+    vocabulary = vocabulary[np.flatnonzero(np.concatenate([[True], vocabulary[1:] != vocabulary[:-1]]))]
+    term = np.empty(len(h), np.int32)
+    for a in range(0, len(h), 1 << 18):
+        term[a : a + (1 << 18)] = np.searchsorted(vocabulary, h[a : a + (1 << 18)])
+    del h
+    count, example = take("counts", "<i4"), np.repeat(np.arange(n, dtype=np.int32), sizes)
     weight = weights(term, labels[example], len(vocabulary), n, share)
-    return {"share": share, "vocabulary": vocabulary, "ids": found["doc_id"].to_numpy(np.int64), "index": Index(example, term, count, n, weight, labels), "x": np.empty(0), "y": np.empty(0)}
+    return {"vocabulary": vocabulary, "ids": ids, "index": Index(example, term, count, n, weight, labels)}
 
 
 def learn(docs: DataFrame, labels: DataFrame, training) -> dict:
@@ -208,10 +218,9 @@ def learn(docs: DataFrame, labels: DataFrame, training) -> dict:
         found = bagged.toPandas()
         share = float(found["toxic"].mean()) if len(found) else 0.0
         if not 0 < share < 1:
-            return {"share": share, "vocabulary": np.empty(0, np.uint64), "ids": np.empty(0, np.int64), "index": None, "x": np.empty(0), "y": np.empty(0)}
-        model = _build(found, share)
+            return {"share": share, "shipped": None, "x": np.empty(0), "y": np.empty(0)}
+        shipped = spark.sparkContext.broadcast(_build(found, share))
         del found
-        shipped = spark.sparkContext.broadcast(model)
 
         def votes(batches):
             model = shipped.value
@@ -223,44 +232,44 @@ def learn(docs: DataFrame, labels: DataFrame, training) -> dict:
 
         dealt = bagged.repartition(max(spark.sparkContext.defaultParallelism, 1), "doc_id")
         voted = keep(dealt.mapInPandas(votes, "doc_id long, toxic int, vote double"), "votes").toPandas().sort_values("doc_id")
-        shipped.unpersist()
     voted = voted[voted["vote"] >= 0]
-    model["x"], model["y"] = isotonic(voted["vote"].to_numpy(), voted["toxic"].to_numpy())
-    return model
+    x, y = isotonic(voted["vote"].to_numpy(), voted["toxic"].to_numpy())
+    return {"share": share, "shipped": shipped, "x": x, "y": y}
 
 
-def judge(model: dict, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, np.ndarray]]:
-    """(score, examples that voted) of texts with these known words and counts; equal ones are judged once."""
-    out: list = [(model["share"], model["ids"][:0])] * len(texts)
-    if model["index"] is None or not len(model["x"]):
-        return out
+def judge(index: Index, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, np.ndarray]]:
+    """(vote, examples that voted) of texts with these known words and counts; equal ones are judged once."""
+    out: list = [(-1.0, np.empty(0, np.int64))] * len(texts)
     same: dict[tuple[bytes, bytes], list[int]] = {}
     for i, (term, count) in enumerate(texts):
         if len(term):
             same.setdefault((term.tobytes(), count.tobytes()), []).append(i)
-    for rows, (vote, best) in zip(same.values(), model["index"].votes([texts[rows[0]] for rows in same.values()])):
-        if vote >= 0:
-            for i in rows:
-                out[i] = (float(np.interp(vote, model["x"], model["y"])), model["ids"][best])
+    for rows, found in zip(same.values(), index.votes([texts[rows[0]] for rows in same.values()])):
+        for i in rows:
+            out[i] = found
     return out
 
 
 def score(docs: DataFrame, model: dict, evidence: int = 0) -> DataFrame:
     """doc_id, score, predicted (and evidence: doc_ids of so many nearest examples) for each row of docs(doc_id, text)."""
-    shipped = docs.sparkSession.sparkContext.broadcast(model)
+    shipped, share, x, y = model["shipped"], model["share"], model["x"], model["y"]
 
     def run(batches):
-        model = shipped.value
+        learned = shipped.value if shipped and len(x) else None
         for pdf in batches:
             for i, n, text, h, count in bags(pdf["text"].tolist()):
-                term, real = known(model["vocabulary"], h)
-                text, term, count = text[real], term[real], count[real]
-                cut = np.searchsorted(text, np.arange(n + 1))
-                found = judge(model, [(term[a:b], count[a:b]) for a, b in zip(cut, cut[1:])])
-                out = pd.DataFrame({"doc_id": pdf["doc_id"].array[i : i + n], "score": [min(max(s, 0.0), 1.0) for s, _ in found]})
+                found = [(-1.0, np.empty(0, np.int64))] * n
+                if learned:
+                    term, real = known(learned["vocabulary"], h)
+                    text, term, count = text[real], term[real], count[real]
+                    cut = np.searchsorted(text, np.arange(n + 1))
+                    found = judge(learned["index"], [(term[a:b], count[a:b]) for a, b in zip(cut, cut[1:])])
+                votes = np.array([v for v, _ in found])
+                scores = np.where(votes >= 0, np.interp(votes, x, y), share) if learned else np.full(n, share)
+                out = pd.DataFrame({"doc_id": pdf["doc_id"].array[i : i + n], "score": np.clip(scores, 0.0, 1.0)})
                 out["predicted"] = (out["score"] >= THRESHOLD).astype("int32")
                 if evidence:
-                    out["evidence"] = [e[:evidence].tolist() for _, e in found]
+                    out["evidence"] = [learned["ids"][best[:evidence]].tolist() if learned else [] for _, best in found]
                 yield out
 
     found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, score double, predicted int" + ", evidence array<long>" * bool(evidence))
