@@ -3,10 +3,10 @@
 A block of vectors is split by length into ranges (norm ranging). Within a range, vectors get one more component that
 brings them to the range's largest length, and a query is scaled to that length (with 0 there), so that nearness is that
 of inner products. A range is indexed by PROJECTIONS single projections: for each, its values in sorted order. A query
-opens windows centred on its own projections; by virtual rehashing they widen by a constant factor, and what newly falls
-into a window counts one collision more. Vectors in the windows of THRESHOLD of the projections are verified: by their exact inner
+opens windows centred on its own projections, from a width somewhat below that which the query before it needed; by virtual
+rehashing they widen by a constant factor, and what newly falls into a window counts one collision more. Vectors in the windows of THRESHOLD of the projections are verified: by their exact inner
 product on the original vectors. A range is done when the k-th best distance so far is no more than the windows' half
-width: a vector at that distance falls into a window with a probability of 0.68 and passes the threshold with one of 0.9,
+width: a vector at that distance falls into a window with a probability of 0.68 and passes the threshold with one of 0.85,
 nearer ones and those of wider windows with more. That holds for any data; what the index can skip depends on them: of
 vectors in uniformly random directions, whose nearest are hardly nearer than the rest, a third, of clustered ones nearly
 all (figures in the README).
@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PROJECTIONS, THRESHOLD, WIDEN = 64, 0.6, 1.25
+PROJECTIONS, THRESHOLD, WIDEN = 64, 0.62, 1.25
 #: Lengths of a range, least to largest; vectors below which a range has no index.
 RANGE, SMALL = 0.85, 128
 BLOCK, QUERIES = 8192, 2048
@@ -42,7 +42,7 @@ class Range:
 
     def __init__(self, vectors: np.ndarray, rows: np.ndarray, lengths: np.ndarray, axes: np.ndarray):
         self.rows, self.top = rows, float(lengths[rows].max())
-        self.axes = axes
+        self.axes, self.start, self.ends = axes, 0, {}
         if len(rows) >= SMALL:
             fill = np.sqrt(np.maximum(self.top**2 - lengths[rows] ** 2, 0))
             cast = np.column_stack([vectors[rows], fill]) @ axes
@@ -51,11 +51,25 @@ class Range:
             self.values = np.ascontiguousarray(np.take_along_axis(cast, order, 0).T)
             self.width = max(float((self.values[:, 3 * len(rows) // 4] - self.values[:, len(rows) // 4]).mean()) / 24, 1e-12 * self.top)
 
+    def ask(self, queries: np.ndarray, lengths: np.ndarray) -> None:
+        """The queries that come now, scaled to the range's length and projected."""
+        self.at, self.ends = (queries * (self.top / lengths)[:, None]) @ self.axes[:-1], {}
+
+    def windows(self, k: int, level: int) -> tuple[list[int], list[int]]:
+        """The ends of query k's windows, in every projection; looked up for all queries at once."""
+        if level not in self.ends:
+            width = self.width * WIDEN**level
+            lo = np.stack([np.searchsorted(v, x - width) for v, x in zip(self.values, self.at.T)], 1)
+            hi = np.stack([np.searchsorted(v, x + width, "right") for v, x in zip(self.values, self.at.T)], 1)
+            self.ends[level] = lo, hi
+        lo, hi = self.ends[level]
+        return lo[k].tolist(), hi[k].tolist()
+
 
 class Index:
     def __init__(self, vectors: np.ndarray, ids: np.ndarray, seed: int = 7):
         self.vectors, self.names = vectors, ids
-        self.columns = np.ascontiguousarray(vectors.T)
+        self.columns, self.rough = np.ascontiguousarray(vectors.T), vectors.astype(np.float32)
         self.lengths = np.sqrt((vectors**2).sum(1))
         axes = np.random.default_rng(seed).standard_normal((vectors.shape[1] + 1, PROJECTIONS))
         order = np.argsort(-self.lengths, kind="stable")
@@ -65,28 +79,32 @@ class Index:
             self.ranges.append(Range(vectors, order[a:b], self.lengths, axes))
             a = b
 
-    def _verify(self, query: np.ndarray, rows: np.ndarray) -> np.ndarray:
-        """Exact inner products, summed in the order of components."""
-        total = np.zeros(len(rows))
-        for column, x in zip(self.columns, query):
-            total += column[rows] * x
-        return total
+    def nearest(self, queries: np.ndarray, k: int, but: np.ndarray | None = None, exact: bool = False):
+        """Yields (rows, scores, vectors verified) of the k largest inner products found, ties to smaller ids, of each query;
+        but: an id to leave out for each."""
+        lengths = np.sqrt((queries**2).sum(1))
+        for part in self.ranges:
+            if not exact and len(part.rows) >= SMALL:
+                part.ask(queries, lengths)
+        for i, (query, length) in enumerate(zip(queries, lengths.tolist())):
+            yield self._nearest(i, query, length, k, None if but is None else but[i], exact)
 
-    def nearest(self, query: np.ndarray, k: int, but=None, exact: bool = False) -> tuple[np.ndarray, np.ndarray, int]:
-        """(rows, scores, vectors verified) of the k largest inner products found, ties to smaller ids."""
-        length = float(np.sqrt((query**2).sum()))
-        best, score, verified = np.empty(0, np.int64), np.empty(0), 0
+    def _nearest(self, i: int, query: np.ndarray, length: float, k: int, but, exact: bool):
+        best, score, verified, short = np.empty(0, np.int64), np.empty(0), 0, query.astype(np.float32)
 
         def merge(rows):
             nonlocal best, score, verified
             rows = rows[self.names[rows] != but] if but is not None else rows
             verified += len(rows)
-            rough = self.vectors[rows] @ query
-            # Sums in another order differ by less than this.
-            slack = 1e-12 * length * self.lengths[rows].max(initial=0.0)
+            rough = self.rough[rows] @ short
+            # Rounding to single precision stays below this; what may be among the best is summed exactly, by component.
+            slack = 1e-5 * length * self.lengths[rows].max(initial=0.0)
             low = score[-1] if len(best) == k else np.partition(rough, len(rough) - k)[len(rough) - k] if len(rows) > k else -np.inf
             rows = rows[rough >= low - slack]
-            best, score = np.append(best, rows), np.append(score, self._verify(query, rows))
+            total = np.zeros(len(rows))
+            for column, x in zip(self.columns, query):
+                total += column[rows] * x
+            best, score = np.append(best, rows), np.append(score, total)
             top = np.lexsort((self.names[best], -score))[:k]
             best, score = best[top], score[top]
 
@@ -96,17 +114,12 @@ class Index:
             if exact or len(part.rows) < SMALL:
                 merge(part.rows)
                 continue
-            n, least = len(part.rows), int(np.ceil(THRESHOLD * PROJECTIONS))
-            at = (query * (part.top / length)) @ part.axes[:-1]
-            width = part.width
-            left = right = np.array([np.searchsorted(v, x) for v, x in zip(part.values, at)])
-            hits, new = np.zeros(n, np.int16), np.ones(n, bool)
+            least, n, level = int(np.ceil(THRESHOLD * PROJECTIONS)), len(part.rows), part.start
+            hits, new = np.zeros(n, np.int64), np.ones(n, bool)
+            lo, hi = part.windows(i, level)
+            fresh = [ids[a:b] for ids, a, b in zip(part.ids, lo, hi)]
             while True:
-                lo = np.array([np.searchsorted(v, x) for v, x in zip(part.values, at - width)])
-                hi = np.array([np.searchsorted(v, x, "right") for v, x in zip(part.values, at + width)])
-                fresh = [i[a:b] for i, a, b in zip(part.ids, lo, left)] + [i[a:b] for i, a, b in zip(part.ids, right, hi)]
-                hits += np.bincount(np.concatenate(fresh), minlength=n).astype(np.int16)
-                left, right = lo, hi
+                hits += np.bincount(np.concatenate(fresh), minlength=n)
                 found = np.flatnonzero(new & (hits >= least))
                 if len(found):
                     new[found] = False
@@ -116,9 +129,14 @@ class Index:
                 if len(best) == k:
                     # Distance of the k-th best in the range's space, where the query has the range's length.
                     apart = np.sqrt(max(2 * part.top**2 - 2 * part.top / length * score[-1], 0.0))
-                    if apart <= width:
+                    if apart <= part.width * WIDEN**level:
                         break
-                width *= WIDEN
+                level += 1
+                left, right = lo, hi
+                lo, hi = part.windows(i, level)
+                fresh = [ids[a:b] for ids, a, b in zip(part.ids, lo, left)] + [ids[a:b] for ids, a, b in zip(part.ids, right, hi)]
+            # The next query's windows begin a little narrower than this one's ended.
+            part.start = max(level - 2, 0)
         return best, score, verified
 
 
@@ -128,12 +146,13 @@ def _search(k: int, exact: bool):
         out = {"query_id": [], "vec_id": [], "score": [], "verified": []}
         if len(mine) and len(asked):
             index = Index(np.array(mine["embedding"].tolist(), np.float64), mine["vec_id"].to_numpy())
-            for name, query in zip(asked["vec_id"].tolist(), asked["embedding"]):
-                rows, score, verified = index.nearest(np.array(query, np.float64), k, name, exact)
-                out["query_id"] += [name] * len(rows)
-                out["vec_id"] += index.names[rows].tolist()
-                out["score"] += score.tolist()
-                out["verified"] += [verified] * len(rows)
+            names, queries = asked["vec_id"].to_numpy(), np.array(asked["embedding"].tolist(), np.float64)
+            for a in range(0, len(names), 256):
+                for name, (rows, score, verified) in zip(names[a : a + 256].tolist(), index.nearest(queries[a : a + 256], k, names[a : a + 256], exact)):
+                    out["query_id"] += [name] * len(rows)
+                    out["vec_id"] += index.names[rows].tolist()
+                    out["score"] += score.tolist()
+                    out["verified"] += [verified] * len(rows)
         return pd.DataFrame(out).astype({"query_id": "int64", "vec_id": "int64", "score": "float64", "verified": "int64"})
 
     return run
