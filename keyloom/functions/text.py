@@ -220,10 +220,10 @@ def splits(word: Column) -> Column:
 
 
 def common_prefix(a: Column, b: Column) -> Column:
-    """Length of the longest common prefix."""
-    n = F.least(F.length(a), F.length(b))
-    at = F.sequence(F.lit(0), n)
-    return F.array_max(F.filter(at, lambda i: F.substr(a, F.lit(1), i) == F.substr(b, F.lit(1), i)))
+    """Length of the longest common prefix: the first place where the characters differ."""
+    same = F.transform(F.arrays_zip(chars(a).alias("x"), chars(b).alias("y")), lambda p: p["x"].eqNullSafe(p["y"]))
+    first = F.array_position(same, F.lit(False))
+    return F.when(first == 0, F.length(a)).otherwise((first - 1).cast("int"))
 
 
 def is_adjacent_transposition(a: Column, b: Column) -> Column:
