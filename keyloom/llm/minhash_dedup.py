@@ -10,12 +10,13 @@ words has none and is linked with nothing). Documents are linked when 100 * |A a
    first 21 entries of any common order; so only this prefix is posted, entries that more than one in 10,000 documents
    hold last. Common passages are skipped so; their collisions are counted on the whole signatures of documents that
    meet elsewhere. Candidates are pairs with 52 of all 96 collisions (at similarity 0.75 fewer have a probability
-   of 3e-6); where lists are merged, documents get longer signatures, 512 values of 8 bits, and candidates are pairs
-   with 336 collisions there (probability of fewer at 0.75: 3e-7; pairs below 0.6 hardly pass).
-3. Long lists aren't expanded into pairs. First each document meets only the list's smallest; its best leader is
-   verified on full sets, and the links are contracted. Then only lists that still hold several components are
+   of 3e-6); where lists are merged, documents get longer signatures, 768 values of 8 bits, and candidates are pairs
+   with 517 collisions there (probability of fewer at 0.75: 3e-7; pairs below 0.62 hardly pass).
+3. Long lists aren't expanded into pairs. First each document meets only the list's leader, the one whose lists are longest; its best leader is
+   verified on full sets, and the links are contracted. Lists that still hold several components are led once more, by
+   another component's document, and contracted again. Then only lists that still hold several components are
    merged, in blocks of bounded size: collisions are counted block against block, and pairs from different
-   components at 336 of 512 collisions or more are verified on full sets. A pair is
+   components at 517 of 768 collisions or more are verified on full sets. A pair is
    counted in the list of its first common posted coordinate alone. Every candidate is thus either verified, or
    within one component already, which is all that components need.
 
@@ -37,7 +38,7 @@ from keyloom.llm.common import keep, lasting, row_key, scratch, sieve, sifted
 from keyloom.llm.components import components
 
 COORDINATES, MATCHES, POSTED, POSTED_MATCHES, SHINGLE = 96, 52, 32, 12, 5
-LONG, LONG_MATCHES = 512, 336
+LONG, LONG_MATCHES = 768, 517
 #: Share of documents from which an entry is posted last; at most POSTED / HOT_SHARE entries.
 HOT_SHARE = 1e-4
 BLOCK = 512
@@ -205,6 +206,27 @@ def near_duplicates(docs: DataFrame, key: bool = False) -> DataFrame:
     return found if key else found.drop("row_key")
 
 
+def _led(docs: DataFrame, sigs: DataFrame, led: DataFrame) -> DataFrame:
+    """Links (a, b) of documents with the best of the leaders that each is paired with, verified on full sets."""
+    led = led.join(sigs.select(F.col("doc").alias("leader"), F.col("sig").alias("leader_sig")), "leader").join(sigs, "doc")
+    led = led.withColumn("same", _collisions("leader_sig", "sig")).filter(F.col("same") >= MATCHES)
+    best = led.groupBy("doc").agg(F.max(F.struct("same", "leader")).alias("best"))
+    return _verified(docs, best.select(F.col("best.leader").alias("a"), F.col("doc").alias("b")))
+
+
+def _mixed(rows: DataFrame) -> DataFrame:
+    """The rows of lists that hold several components."""
+    mixed = rows.groupBy("entry").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("entry")
+    return rows.join(mixed, "entry")
+
+
+def _composed(found: DataFrame, joined: DataFrame) -> DataFrame:
+    """(node, component) of nodes by found, then of its components by joined."""
+    every = found.select("node", "component").unionByName(joined.select("node").join(found.select("node"), "node", "left_anti").withColumn("component", F.col("node")))
+    then = joined.select(F.col("node").alias("component"), F.col("component").alias("final"))
+    return every.join(then, "component", "left").select("node", F.coalesce("final", "component").alias("component"))
+
+
 def _judged(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     signed = keep(docs.mapInPandas(_sign, "doc_id long, row_key long, n_shingles long, h1 long, h2 long, sig binary"), "signatures")
@@ -219,21 +241,29 @@ def _judged(docs: DataFrame) -> DataFrame:
     hot = spark.sparkContext.broadcast((often["entry"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)))
 
     postings = reps.select("rep", "sig").mapInPandas(_post(hot), "entry long, doc long, coordinate int, mask long")
-    lists = postings.groupBy("entry").agg(F.min("doc").alias("leader"), F.count("*").alias("size")).filter("size > 1")
+    lists = postings.groupBy("entry").agg(F.count("*").alias("size")).filter("size > 1")
     lists = keep(postings.join(lists, "entry"), "lists")
+    # A list is led by the document whose lists are longest: of a text and its edited copies that is the text, which is
+    # more like each copy than they are like each other.
+    hubs = lists.groupBy("doc").agg(F.sum("size").alias("hub"))
+    lists = keep(lists.join(hubs, "doc"), "led")
+    first = lists.groupBy("entry").agg(F.max(F.struct("hub", "doc")).alias("x")).select("entry", F.col("x.doc").alias("leader"))
 
     sigs = reps.select(F.col("rep").alias("doc"), "sig")
-    led = lists.filter("doc != leader").select("leader", "doc").distinct()
-    led = led.join(sigs.select(F.col("doc").alias("leader"), F.col("sig").alias("leader_sig")), "leader").join(sigs, "doc")
-    led = led.withColumn("same", _collisions("leader_sig", "sig")).filter(F.col("same") >= MATCHES)
-    best = led.groupBy("doc").agg(F.max(F.struct("same", "leader")).alias("best"))
-    found = components(_verified(docs, best.select(F.col("best.leader").alias("a"), F.col("doc").alias("b"))))
-
-    labelled = lists.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("entry", "size", "doc", "coordinate", "mask", F.coalesce("component", "doc").alias("label"))
-    labelled = keep(labelled, "labelled")
-    mixed = labelled.groupBy("entry").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low != high").select("entry")
+    found = components(_led(docs, sigs, lists.join(first, "entry").filter("doc != leader").select("leader", "doc").distinct()))
+
+    labelled = lists.join(found.withColumnRenamed("node", "doc"), "doc", "left").select("entry", "size", "doc", "hub", "coordinate", "mask", F.coalesce("component", "doc").alias("label"))
+    labelled = keep(_mixed(labelled), "labelled")
+    # Lists that still hold several components are led once more, by the next such document outside of the first's component.
+    of_first = labelled.join(first, "entry").filter("doc = leader").select("entry", F.col("label").alias("first_label"))
+    again = labelled.join(of_first, "entry").filter("label != first_label").groupBy("entry").agg(F.max(F.struct("hub", "doc", "label")).alias("x")).select("entry", F.col("x.doc").alias("leader"), F.col("x.label").alias("leader_label"))
+    links = _led(docs, sigs, labelled.join(again, "entry").filter("label != leader_label").select("leader", "doc").distinct())
+    label = lambda c: labelled.select(F.col("doc").alias(c), F.col("label").alias(f"l{c}")).distinct()
+    joined = components(links.join(label("a"), "a").join(label("b"), "b").select(F.col("la").alias("a"), F.col("lb").alias("b")))
+    found = keep(_composed(found, joined), "found")
+    rows = labelled.join(joined.withColumnRenamed("node", "label"), "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component")
+    rows = keep(_mixed(rows), "mixed")
     blocks = F.ceil(F.col("size") / BLOCK)
-    rows = keep(labelled.join(mixed, "entry"), "mixed")
     long = sifted(docs, sieve(rows.select("doc")), "row_key").mapInPandas(_extend, "doc long, long binary")
     long = keep(sigs.select("doc", F.substring("sig", 1, 4 * POSTED).alias("sig")).join(long, "doc"), "long-signatures")
     rows = rows.join(long, "doc").withColumn("block", F.pmod(F.xxhash64("doc"), blocks).cast("long"))
