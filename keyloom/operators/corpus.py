@@ -111,3 +111,38 @@ def threshold_sweep(df: DataFrame, score: str, label: str, thresholds: list[floa
     rows = df.withColumn("threshold", F.explode(F.array(*map(F.lit, thresholds))))
     out = rows.groupBy("threshold").agg(F.count_if(hit & (F.col(label) == 1)).alias("tp"), F.count_if(hit & (F.col(label) == 0)).alias("fp"), F.count_if(~hit & (F.col(label) == 1)).alias("fn"))
     return out.withColumn("f1", F.round(F.when(F.col("tp") > 0, 2 * F.col("tp") / (2 * F.col("tp") + F.col("fp") + F.col("fn"))).otherwise(0.0), 6))
+
+
+def damaged_letters(word: Column, seed: Column, letters: tuple[str, str, str, str] = ("а", "о", "е", "и")) -> dict[str, Column]:
+    """Four kinds of damage to words of five letters or more, placed by a seed: a letter more, another letter, the end
+    missing, two neighbours exchanged with another letter after them."""
+    a, o, e, i = letters
+    n = F.length(word)
+    at = (seed % (n - 2) + 1).cast("int")
+    other = lambda c, x, y: F.when(c == x, y).otherwise(x)
+    ch = lambda w, k: F.substr(w, k + 1, F.lit(1))
+    first = (seed % (n - 3) + 1).cast("int")
+    swapped = F.concat(F.substr(word, F.lit(1), first), ch(word, first + 1), ch(word, first), F.substr(word, first + 3))
+    second = F.least(first + 2, n - 2)
+    return {
+        "extra": F.concat(F.substr(word, F.lit(1), at), other(ch(word, at), a, o), F.substr(word, at + 1)),
+        "substitution": F.concat(F.substr(word, F.lit(1), at), other(ch(word, at), a, o), F.substr(word, at + 2)),
+        "completion": F.substr(word, F.lit(1), (n - 2 - seed % 2).cast("int")),
+        "composite": F.concat(F.substr(swapped, F.lit(1), second), other(ch(swapped, second), e, i), F.substr(swapped, second + 2)),
+    }
+
+
+def fragment_scores(words: DataFrame, features: DataFrame, id_: str = "word") -> DataFrame:
+    """id, lang, total: of every side, the summed weights of all overlapping 2-4-grams of ^word$ (each occurrence counts);
+    features(lang, feature, n). Sides without a known feature don't come back."""
+    w = F.concat(F.lit("^"), F.col(id_), F.lit("$"))
+    grams = F.flatten(F.transform(F.array(*map(F.lit, (2, 3, 4))), lambda n: F.transform(F.when(F.length(w) >= n, F.sequence(F.lit(1), F.length(w) - n + 1)).otherwise(F.array().cast("array<int>")), lambda i: F.substr(w, i, n))))
+    rows = words.select(id_, F.explode(grams).alias("feature")).groupBy(id_, "feature").agg(F.count("*").alias("times"))
+    return rows.join(features, "feature").groupBy(id_, "lang").agg(F.sum(F.col("times") * F.col("n")).alias("total"))
+
+
+def cycled_lines(words: DataFrame, lines: int, width: int = 12) -> DataFrame:
+    """lang, line, text: words(lang, word, i, size), i from 1 in order of word, taken in turns, `width` a line."""
+    slots = F.explode(F.sequence(F.col("i") - 1, F.lit(lines * width - 1).cast("long"), F.col("size")))
+    some = words.filter(F.col("i") <= lines * width).select("lang", "word", slots.alias("slot")).withColumn("line", F.floor(F.col("slot") / width))
+    return some.groupBy("lang", "line").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "word"))), lambda s: s["word"]), " ").alias("text"))
