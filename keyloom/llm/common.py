@@ -6,7 +6,7 @@ import contextlib
 import contextvars
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,6 +88,30 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             p.getFileSystem(conf).delete(p, True)
 
 
+def release() -> None:
+    """Gives a Python worker's unused memory back: workers are reused, and what one stage held weighs on the next."""
+    import ctypes
+
+    import pyarrow
+
+    pyarrow.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def released(run: Callable) -> Callable:
+    """run over the batches of a task, then release()."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return whole
+
+
 def private(df: DataFrame, *wanted: str) -> tuple[DataFrame, dict[str, str]]:
     """df under names of this package's own but for the wanted columns, so that no other column's name can clash with
     those of an operator; and df's names by the new ones, in order."""

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.bytetext import mix64, ragged, slices, words
-from keyloom.llm.common import keep, lasting, row_key, scratch
+from keyloom.llm.common import keep, lasting, released, row_key, scratch
 
 SHINGLE, OVERLAP, PART_OVERLAP = 5, 0.75, 0.5
 SHARD, BLOCK, K1, B = 20_000, 16, 1.2, 0.75
@@ -243,7 +243,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, key: bool = False) -> Da
         for k in range(shards):
             rows = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).collect()
             shipped = spark.sparkContext.broadcast(Index([tuple(r) for r in rows]))
-            part = keep(docs.mapInPandas(_scan(shipped), RESULT), "leaks")
+            part = keep(docs.mapInPandas(released(_scan(shipped)), RESULT), "leaks")
             shipped.unpersist()
             found = part if found is None else found.unionByName(part)
         found = lasting(found, "contaminated")

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.bytetext import _LOWER, slices
-from keyloom.llm.common import keep, lasting, row_key, scratch
+from keyloom.llm.common import keep, lasting, released, row_key, scratch
 
 BUCKETS = 2048
 PER_LANGUAGE, TOTAL = 800, 8000
@@ -137,7 +137,7 @@ def train(docs: DataFrame, training) -> dict:
                     some = [k for k in range(len(x)) if texts[i + k] is not None]
                     yield pd.DataFrame({"lang": [pdf["lang"].iat[i + k] for k in some], "x": [x[k].tobytes() for k in some]})
 
-        found = keep(rows.join(counts, "lang").filter(draw).mapInPandas(run, "lang string, x binary"), "language-sample").toPandas().sort_values(["lang", "x"])
+        found = keep(rows.join(counts, "lang").filter(draw).mapInPandas(released(run), "lang string, x binary"), "language-sample").toPandas().sort_values(["lang", "x"])
     return learn(np.frombuffer(b"".join(found["x"]), np.float32).reshape(-1, BUCKETS), found["lang"].tolist())
 
 
@@ -160,5 +160,5 @@ def identify(docs: DataFrame, model: dict, key: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(langs, pa.string()), pa.array(np.concatenate([*scores, np.empty(0)])), batch.column(2)], names=["doc_id", "lang_pred", "score", "row_key"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("row_key", row_key())
-    found = lasting(rows.mapInArrow(run, "doc_id long, lang_pred string, score double, row_key long"), "languages")
+    found = lasting(rows.mapInArrow(released(run), "doc_id long, lang_pred string, score double, row_key long"), "languages")
     return found if key else found.drop("row_key")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from keyloom.llm.bytetext import mix64, ragged, slices, words
-from keyloom.llm.common import keep, lasting, row_key, scratch, sieve, sifted
+from keyloom.llm.common import keep, lasting, release, released, row_key, scratch, sieve, sifted
 from keyloom.llm.components import components
 
 COORDINATES, MATCHES, POSTED, POSTED_MATCHES, SHINGLE = 96, 52, 32, 12, 5
@@ -148,6 +148,7 @@ def _similar(a: pd.Series, b: pd.Series) -> pd.Series:
         z = next(shingle_sets([y]))[1]
         both = len(np.intersect1d(known[1], z, assume_unique=True))
         out.append(100 * both >= 75 * (len(known[1]) + len(z) - both) and both > 0)
+    release()
     return pd.Series(out, dtype="bool")
 
 
@@ -229,18 +230,18 @@ def _composed(found: DataFrame, joined: DataFrame) -> DataFrame:
 
 def _judged(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
-    signed = keep(docs.mapInPandas(_sign, "doc_id long, row_key long, n_shingles long, h1 long, h2 long, sig binary"), "signatures")
+    signed = keep(docs.mapInPandas(released(_sign), "doc_id long, row_key long, n_shingles long, h1 long, h2 long, sig binary"), "signatures")
     with_set = signed.filter("n_shingles > 0 and doc_id is not null")
     # A class goes by the row of its smallest doc_id: other texts may have that id too.
     classes = with_set.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "row_key", "sig")).alias("least"))
     reps = keep(classes.select("h1", "h2", F.col("least.row_key").alias("rep"), F.col("least.doc_id").alias("rep_doc"), F.col("least.sig").alias("sig")), "classes")
 
     n = reps.count()
-    often = reps.select("sig").mapInPandas(_local_counts(HOT_SHARE), "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(8, HOT_SHARE * n))
+    often = reps.select("sig").mapInPandas(released(_local_counts(HOT_SHARE)), "entry long, n long").groupBy("entry").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(8, HOT_SHARE * n))
     often = often.toPandas().sort_values("entry", key=lambda s: s.to_numpy().view(np.uint64))
     hot = spark.sparkContext.broadcast((often["entry"].to_numpy(np.int64).view(np.uint64), often["n"].to_numpy(np.int64)))
 
-    postings = reps.select("rep", "sig").mapInPandas(_post(hot), "entry long, doc long, coordinate int, mask long")
+    postings = reps.select("rep", "sig").mapInPandas(released(_post(hot)), "entry long, doc long, coordinate int, mask long")
     lists = postings.groupBy("entry").agg(F.count("*").alias("size")).filter("size > 1")
     lists = keep(postings.join(lists, "entry"), "lists")
     # A list is led by the document whose lists are longest: of a text and its edited copies that is the text, which is
@@ -264,13 +265,13 @@ def _judged(docs: DataFrame) -> DataFrame:
     rows = labelled.join(joined.withColumnRenamed("node", "label"), "label", "left").withColumn("label", F.coalesce("component", "label")).drop("component")
     rows = keep(_mixed(rows), "mixed")
     blocks = F.ceil(F.col("size") / BLOCK)
-    long = sifted(docs, sieve(rows.select("doc")), "row_key").mapInPandas(_extend, "doc long, long binary")
+    long = sifted(docs, sieve(rows.select("doc")), "row_key").mapInPandas(released(_extend), "doc long, long binary")
     long = keep(sigs.select("doc", F.substring("sig", 1, 4 * POSTED).alias("sig")).join(long, "doc"), "long-signatures")
     rows = rows.join(long, "doc").withColumn("block", F.pmod(F.xxhash64("doc"), blocks).cast("long"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), (blocks - 1).cast("long"))))
     rows = rows.select("entry", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"), "block", "doc", "label", "coordinate", "mask", "sig", "long")
     rows = rows.repartition("entry", "b1", "b2").sortWithinPartitions("entry", "b1", "b2")
-    more = _verified(docs, rows.mapInPandas(_cross, "a long, b long"))
+    more = _verified(docs, rows.mapInPandas(released(_cross), "a long, b long"))
     label = found.select(F.col("node").alias("id"), "component")
     links = more.join(label.withColumnRenamed("id", "a").withColumnRenamed("component", "ca"), "a", "left").join(label.withColumnRenamed("id", "b").withColumnRenamed("component", "cb"), "b", "left")
     merged = components(links.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))

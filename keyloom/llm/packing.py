@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import keep
+from keyloom.llm.common import keep, released
 from keyloom.llm.tokens import encoder, tokenizer_json
 
 WINDOW = 2048
@@ -103,7 +103,7 @@ def pack(docs: DataFrame, window: int = WINDOW, tokenizer: str | None = None, en
     spark = docs.sparkSession
     definition = spark.sparkContext.broadcast(tokenizer_json(tokenizer))
     schema = "part int, doc_id long, start long, length long, ids_crc32 long, doc_tokens long, number long" + ", ids binary" * with_ids
-    pieces = keep(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(_pieces(definition, window, end_id, with_ids), schema), "pieces")
+    pieces = keep(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(released(_pieces(definition, window, end_id, with_ids)), schema), "pieces")
     cells = pieces.groupBy("part", "length").agg(F.count("*").alias("n"))
     of_length = {r["length"]: r["n"] for r in cells.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # window rows at most
     rows, used = [], dict.fromkeys(of_length, 0)

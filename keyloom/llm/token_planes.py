@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import lasting, new_path, shuffles, small_batches
+from keyloom.llm.common import lasting, new_path, released, shuffles, small_batches
 from keyloom.llm.tokens import encoder, tokenizer_json
 
 BLOCK_IDS = 1 << 15
@@ -135,7 +135,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str | None = None, end_i
     definition = spark.sparkContext.broadcast(tokenizer_json(tokenizer))
     ordered = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).repartitionByRange(shuffles(spark), "doc_id").sortWithinPartitions("doc_id", "text")
     run = _segments(definition, end_id, bits, segment_ids, block_ids)
-    found = ordered.mapInPandas(run, "part int, segment int, start_in_part long, n_ids long, first_doc_id long, payload binary")
+    found = ordered.mapInPandas(released(run), "part int, segment int, start_in_part long, n_ids long, first_doc_id long, payload binary")
     with small_batches(spark):
         found.write.option("compression", "none").option("parquet.block.size", 16 << 20).parquet(path)
 
@@ -159,7 +159,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = False) -> DataF
                 out.loc[docs == _NO_ID, "doc_id"] = pd.NA
                 yield out.assign(ids=cells) if with_ids else out
 
-    found = segments.select("part", "start_in_part", "payload").mapInPandas(run, "part int, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
+    found = segments.select("part", "start_in_part", "payload").mapInPandas(released(run), "part int, doc_id long, at long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
     found = lasting(found, "token-index") if not with_ids else found
     return found.join(before, "part").select("doc_id", (F.col("at") + F.col("before")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] if with_ids else []))
 

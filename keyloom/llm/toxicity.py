@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.bytetext import ragged, slices, words
-from keyloom.llm.common import keep, lasting, scratch
+from keyloom.llm.common import keep, lasting, released, scratch
 
 SAMPLE, NEIGHBOURS, BLOCK, THRESHOLD = 20_000, 25, 256, 0.3
 #: The mark of words that don't lean to toxic texts; examples that a word's share is shrunk by.
@@ -214,7 +214,7 @@ def learn(docs: DataFrame, labels: DataFrame, training) -> dict:
         named = keep(rows.withColumn("same", F.xxhash64("text")), "labelled-rows")
         first = named.groupBy("doc_id").agg(F.min("same").alias("same")).groupBy("same").agg(F.min("doc_id").alias("doc_id"))
         texts = named.join(first, ["doc_id", "same"]).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text"))
-        bagged = keep(texts.mapInPandas(_gather, "doc_id long, toxic int, words binary, counts binary"), "labelled-bags")
+        bagged = keep(texts.mapInPandas(released(_gather), "doc_id long, toxic int, words binary, counts binary"), "labelled-bags")
         found = bagged.toPandas()
         share = float(found["toxic"].mean()) if len(found) else 0.0
         if not 0 < share < 1:
@@ -231,7 +231,7 @@ def learn(docs: DataFrame, labels: DataFrame, training) -> dict:
                 yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "vote": found})
 
         dealt = bagged.repartition(max(spark.sparkContext.defaultParallelism, 1), "doc_id")
-        voted = keep(dealt.mapInPandas(votes, "doc_id long, toxic int, vote double"), "votes").toPandas().sort_values("doc_id")
+        voted = keep(dealt.mapInPandas(released(votes), "doc_id long, toxic int, vote double"), "votes").toPandas().sort_values("doc_id")
     voted = voted[voted["vote"] >= 0]
     x, y = isotonic(voted["vote"].to_numpy(), voted["toxic"].to_numpy())
     return {"share": share, "shipped": shipped, "x": x, "y": y}
@@ -272,5 +272,5 @@ def score(docs: DataFrame, model: dict, evidence: int = 0) -> DataFrame:
                     out["evidence"] = [learned["ids"][best[:evidence]].tolist() if learned else [] for _, best in found]
                 yield out
 
-    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, score double, predicted int" + ", evidence array<long>" * bool(evidence))
+    found = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(released(run), "doc_id long, score double, predicted int" + ", evidence array<long>" * bool(evidence))
     return lasting(found, "toxicity")
