@@ -95,7 +95,7 @@ def test_edit_plan_of_whole_texts(spark, tmp_path):
     long = "ab" * 4000
     texts = [long, long[:5000] + "X" + long[5000:], long + "end", "", "aa", "aaa", "é😀b", "é😁b", None, "a"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r.doc_id: tuple(r)[1:] for r in queries.QUERIES["edit_plan_whole"](spark, str(tmp_path)).collect()}
+    got = {r.doc_id: tuple(r)[1:] for r in queries.QUERIES["edit_plan"](spark, str(tmp_path)).collect()}
     assert sorted(got) == list(range(len(texts) - 1))
     for i, (a, b) in enumerate(zip(texts, texts[1:])):
         if a is None or b is None:
