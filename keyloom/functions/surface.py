@@ -209,3 +209,59 @@ def over_compresses(a: Column, b: Column, error: Column) -> Column:
     """Three letters or more lost of a Cyrillic word of six or more, outside of classes that explain it."""
     plain = ~error.isin("wrong-layout", "partial-layout", "split-word", "glued-words", "repeated-letter")
     return plain & is_cyrillic_letters(a) & is_cyrillic_letters(b) & (F.length(a) >= 6) & (F.length(b) + 3 <= F.length(a))
+
+
+# Texts
+
+
+def reject_reason(c: Column) -> Column:
+    """Why a phrase isn't kept: unsafe_text or low_language_quality; null if it is."""
+    t = F.trim(F.regexp_replace(c, WS + "+", " "))
+    unsafe = (t == "") | t.contains("://") | t.contains("@") | t.contains("=") | t.rlike(r"[\x00-\x1f\x7f]") | t.rlike(r"^[!-/:-@\[-`{-~…]") | t.rlike(r"(^| )-[^ ]")
+    return F.when(unsafe, "unsafe_text").when(alpha_is_low(t), "low_language_quality")
+
+
+def preferred_russian(c: Column, fallback: Column) -> Column:
+    """Whether a text is typed on the Russian layout: by the script that has more letters, the fallback where both have as many."""
+    ru, us = X.count_of(c, "[а-яА-ЯёЁ]"), X.count_of(c, "[A-Za-z]")
+    return F.when(ru > us, True).when(us > ru, False).otherwise(fallback)
+
+
+def mixed_case(c: Column) -> Column:
+    """Cyrillic words of two letters or more with capitals here and there, lower-cased but for a first capital; else null."""
+    lower = F.lower(c)
+    odd = c.rlike(r"\p{Lu}") & c.rlike(r"\p{Ll}") & is_cyrillic_word(c) & (F.length(c) >= 2)
+    fixed = F.when(c.rlike(r"^\p{Lu}"), F.concat(F.upper(F.substring(c, 1, 1)), F.substr(lower, F.lit(2)))).otherwise(lower)
+    return F.when(odd & (fixed != c), fixed)
+
+
+def safe_replacement(a: Column, b: Column, known: Column) -> Column:
+    """Whether a learned replacement may be applied: it changes the text, has three words at most, and of a single word neither
+    loses two letters or more nor becomes a short word, unless the target's words are known."""
+    x, y = F.trim(a), F.trim(b)
+    words = lambda c: X.count_of(c, NOT_WS + "+")
+    letters = lambda c: X.count_of(c, r"\p{L}")
+    short = (letters(y) + 1 < letters(x)) | ((words(y) == 1) & (letters(y) <= 3))
+    return (x != "") & (y != "") & (x != y) & (words(y) <= 3) & ((words(x) > 1) | known | ~short)
+
+
+def replace_word_before_last(c: Column, replacement: Column) -> Column:
+    """The second-last word exchanged, in its casing, what stands around it as it is; null without two words, or where nothing changes."""
+    parts = X.segments(c)
+    spots = F.filter(F.transform(parts, lambda s, i: F.when(s["text"].rlike(r"[\p{L}\p{N}]"), i)), lambda i: i.isNotNull())
+    at = F.get(spots, F.size(spots) - 2)
+
+    def exchanged(s):
+        e = X.edge_punctuation(s["text"])
+        return F.concat(e["lead"], X.word_case(e["core"], replacement), e["trail"])
+
+    out = F.array_join(F.transform(parts, lambda s, i: F.when(i == at, exchanged(s)).otherwise(s["text"])), "")
+    return F.when((F.size(spots) >= 2) & (out != c), out)
+
+
+def boundary_shifted(a: Column, b: Column) -> Column:
+    """Whether b is a with one letter moved over the space between two words: the same letters, as many words, two changed."""
+    x, y = X.normalized_words(a), X.normalized_words(b)
+    changed = F.size(F.filter(F.arrays_zip(x.alias("x"), y.alias("y")), lambda p: ~p["x"].eqNullSafe(p["y"])))
+    moved = F.exists(F.sequence(F.lit(0), F.greatest(F.size(x) - 2, F.lit(0))), lambda i: F.abs(F.length(F.get(x, i)) - F.length(F.get(y, i))) == 1)
+    return (F.size(x) >= 2) & (F.size(x) == F.size(y)) & (F.array_join(x, "") == F.array_join(y, "")) & (changed == 2) & F.coalesce(moved, F.lit(False))
