@@ -115,12 +115,17 @@ def protected_ascii(c: Column) -> Column:
     return X.has_latin(c) & X.is_ascii(c) & shaped
 
 
+def _with_token(parts: Column, at: Column, then) -> Column:
+    """The segments joined, the one at a place replaced by then(segment); the place is worked out once."""
+    bound = F.array(F.struct(parts.alias("parts"), at.alias("at")))
+    return F.get(F.transform(bound, lambda z: F.array_join(F.transform(z["parts"], lambda s, i: F.when(i == z["at"], then(s)).otherwise(s["text"])), "")), F.lit(0))
+
+
 def flip_token(c: Column, index: Column) -> Column:
     """The text with one token on the other layout: the index-th, from 0, or from the end if below 0."""
     parts = X.segments(c)
     spots = F.filter(F.transform(parts, lambda s, i: F.when(~s["is_ws"], i)), lambda i: i.isNotNull())
-    at = F.get(spots, F.when(index < 0, F.size(spots) + index).otherwise(index))
-    return F.array_join(F.transform(parts, lambda s, i: F.when(i == at, X.project(s["text"])).otherwise(s["text"])), "")
+    return _with_token(parts, F.get(spots, F.when(index < 0, F.size(spots) + index).otherwise(index)), lambda s: X.project(s["text"]))
 
 
 def model_normal(c: Column) -> Column:
@@ -249,14 +254,12 @@ def replace_word_before_last(c: Column, replacement: Column) -> Column:
     """The second-last word exchanged, in its casing, what stands around it as it is; null without two words, or where nothing changes."""
     parts = X.segments(c)
     spots = F.filter(F.transform(parts, lambda s, i: F.when(s["text"].rlike(r"[\p{L}\p{N}]"), i)), lambda i: i.isNotNull())
-    at = F.get(spots, F.size(spots) - 2)
 
     def exchanged(s):
         e = X.edge_punctuation(s["text"])
         return F.concat(e["lead"], X.word_case(e["core"], replacement), e["trail"])
 
-    out = F.array_join(F.transform(parts, lambda s, i: F.when(i == at, exchanged(s)).otherwise(s["text"])), "")
-    return F.when((F.size(spots) >= 2) & (out != c), out)
+    return F.when(F.size(spots) >= 2, F.nullif(_with_token(parts, F.get(spots, F.size(spots) - 2), exchanged), c))
 
 
 def boundary_shifted(a: Column, b: Column) -> Column:
