@@ -18,7 +18,7 @@ import numpy as np
 from keyloom.llm.bytetext import ragged, slices, span_hashes
 
 #: Cuts kept in memory by one Python worker, 30 bytes or so each; beyond it the table starts anew.
-TABLE_CUTS = 300_000
+TABLE_CUTS = 600_000
 _OTHER_BLANKS = re.compile("[\x00\x1c-\x1f\x85\xa0 ᠎ -     　]")
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
