@@ -169,3 +169,22 @@ def test_damage(spark):
         second = min(first + 2, len(w) - 2)
         sw[second] = "и" if sw[second] == "е" else "е"
         assert (r.extra, r.substitution, r.completion, r.composite) == ("".join(w[:at] + [other] + w[at:]), "".join(w[:at] + [other] + w[at + 1 :]), r.w[: len(w) - 2 - s % 2], "".join(sw))
+
+
+def test_rules_on_texts(spark):
+    a, b = F.col("a"), F.col("b")
+    pairs = [("првиет", "привет", True), ("длинное", "ок", False), ("а б", "аб", True), ("x", "x", False), ("", "y", False), ("слово", "а б в г", False)]
+    got = spark.createDataFrame(pairs, "a string, b string, want boolean").select("want", S.safe_replacement(a, b, F.lit(False)).alias("got")).collect()
+    assert [r.got for r in got] == [r.want for r in got]
+    cases = values(spark, [("ПриВет",), ("приВЕТ",), ("ПРИВЕТ",), ("Привет",), ("Hello",)], "a string", c=S.mixed_case(a))
+    assert [r.c for r in cases] == ["Привет", "привет", None, None, None]
+    shifts = values(spark, [("пр ивет", "при вет"), ("пр ивет", "приве т"), ("аб вг", "аб вг"), ("приве т", "прив ет")], "a string, b string", s=S.boundary_shifted(a, b))
+    assert [r.s for r in shifts] == [True, False, False, True]
+    last = values(spark, [(" Один «два», три ",), ("один",), ("b c",)], "a string", r=S.replace_word_before_last(a, F.lit("b")))
+    assert [r.r for r in last] == [" Один «b», три ", None, None]
+    reasons = values(spark, [("нормальный текст",), ("a=b",), ("",), ("12 34 5 a",), ("ls -la dir",), ("см. http://x",)], "a string", r=S.reject_reason(a))
+    assert [r.r for r in reasons] == [None, "unsafe_text", "unsafe_text", "low_language_quality", "unsafe_text", "unsafe_text"]
+    layouts = values(spark, [("привет hi",), ("hi",), ("12",)], "a string", r=S.preferred_russian(a, F.lit(True)))
+    assert [r.r for r in layouts] == [True, False, True]
+    lost = values(spark, [("a b", "ab", "typo"), ("a b", "ab", "glued_phrase"), ("a", "", "typo")], "a string, b string, r string", x=S.loses_words(a, b, F.col("r")))
+    assert [r.x for r in lost] == [True, False, False]
