@@ -1,6 +1,6 @@
 """Vectorised text kernels over UTF-8 bytes (numpy, inside Arrow batches).
 
-Texts are handled in slices of a MB or so, so a worker's memory doesn't grow with its partition or batch.
+Texts are handled in slices of half a MB or so, so a worker's memory doesn't grow with its partition or batch.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Bytes handled at once. A longer text is a slice of its own.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _ROOT = np.uint64(0x9E3779B97F4A7C15 | 1)
 
 

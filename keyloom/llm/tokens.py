@@ -19,6 +19,8 @@ from keyloom.llm.bytetext import ragged, slices, span_hashes
 
 #: Cuts kept in memory by one Python worker, 30 bytes or so each; beyond it the table starts anew.
 TABLE_CUTS = 600_000
+#: Cuts learned lately, up to which they stay in a table of their own.
+LATE_CUTS = 100_000
 _OTHER_BLANKS = re.compile("[\x00\x1c-\x1f\x85\xa0 ᠎ -     　]")
 _WHITE = np.zeros(256, bool)
 _WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -52,6 +54,12 @@ def _cuts(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins)
 
 
+def _merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
+    """Two tables of distinct keys as one, in order of keys."""
+    order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+    return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b))
+
+
 class Encoder:
     """Encodes lists of texts into flat id arrays with offsets."""
 
@@ -67,7 +75,9 @@ class Encoder:
         self._empty()
 
     def _empty(self) -> None:
-        self.keys, self.at, self.size, self.ids = np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, self.dtype)
+        """No cuts known: (sorted keys, first ids, sizes) of the many, and of those learned lately."""
+        none = lambda: (np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))
+        self.known, self.late, self.ids = none(), none(), np.empty(0, self.dtype)
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype)
@@ -88,14 +98,22 @@ class Encoder:
     def _learn(self, keys: np.ndarray, cuts: list[str]) -> None:
         found = self._encode_cuts(cuts)
         size = np.fromiter(map(len, found), np.int64, len(found))
-        at = len(self.ids) + np.cumsum(size) - size
+        added = (keys, len(self.ids) + np.cumsum(size) - size, size)
         self.ids = np.concatenate([self.ids, *found])
-        where = np.searchsorted(self.keys, keys)
-        self.keys, self.at, self.size = np.insert(self.keys, where, keys), np.insert(self.at, where, at), np.insert(self.size, where, size)
+        # The large table is copied seldom.
+        self.late = _merged(self.late, added)
+        if len(self.late[0]) > LATE_CUTS:
+            self.known, self.late = _merged(self.known, self.late), tuple(x[:0] for x in added)
 
     def _entries(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        where = np.minimum(np.searchsorted(self.keys, keys), max(len(self.keys) - 1, 0))
-        return where, self.keys[where] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        """(first id, size) of each key's cut; size -1 where it isn't known."""
+        at, size = np.zeros(len(keys), np.int64), np.full(len(keys), -1)
+        for k, a, n in (self.known, self.late):
+            if len(k):
+                where = np.minimum(np.searchsorted(k, keys), len(k) - 1)
+                hit = k[where] == keys
+                at[hit], size[hit] = a[where[hit]], n[where[hit]]
+        return at, size
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, each text's offset and the end). Null counts as empty."""
@@ -109,15 +127,13 @@ class Encoder:
             real = begin != starts[text_of + 1] - 1  # not a closing zero byte
             begin, end, text_of = begin[real], end[real], text_of[real]
             keys, first, which = np.unique(span_hashes(data, begin, end), return_index=True, return_inverse=True)
-            if len(self.keys) > TABLE_CUTS:
+            if len(self.known[0]) > TABLE_CUTS:
                 self._empty()
-            _, known = self._entries(keys)
-            if len(new := np.flatnonzero(~known)):
+            if len(new := np.flatnonzero(self._entries(keys)[1] < 0)):
                 raw = data.tobytes()
                 self._learn(keys[new], [raw[a:b].decode() for a, b in zip(begin[first[new]].tolist(), end[first[new]].tolist())])
-            entry = self._entries(keys)[0][which]
-            size = self.size[entry]
-            ids = self.ids[np.repeat(self.at[entry], size) + ragged(size)] if len(size) else self.ids[:0]
+            at, size = (x[which] for x in self._entries(keys))
+            ids = self.ids[np.repeat(at, size) + ragged(size)] if len(size) else self.ids[:0]
             count = np.bincount(text_of, size, j - i).astype(np.int64)
             if here := [k for k in range(i, j) if k in odd]:
                 parts = np.split(ids, np.cumsum(count)[:-1])
