@@ -112,6 +112,13 @@ def released(run: Callable) -> Callable:
     return whole
 
 
+def shrink_heaps(spark: SparkSession) -> None:
+    """Lets every executor collect its garbage and give unused heap back, which it keeps otherwise: for stages of a long
+    job that hand over from JVM work to Python workers. One task a slot; results don't depend on it."""
+    slots = max(2, spark.sparkContext.defaultParallelism)
+    spark.range(0, slots, 1, slots).select(F.call_function("reflect", F.lit("java.lang.System"), F.lit("gc"))).write.format("noop").mode("overwrite").save()
+
+
 def private(df: DataFrame, *wanted: str) -> tuple[DataFrame, dict[str, str]]:
     """df under names of this package's own but for the wanted columns, so that no other column's name can clash with
     those of an operator; and df's names by the new ones, in order."""
