@@ -147,6 +147,15 @@ def test_similar_lines_meet(spark, words, edits):
     assert 0.9 * 150 <= removed <= 150
 
 
+def test_long_lists_lose_no_link(spark, monkeypatch):
+    """Pairs of similar lines in one list, which share no other block; lines of other pairs aren't similar."""
+    rows = [(2 * i + k, " ".join([f"s{i}{c}" for c in "abcde"] + ["first", "second", "third", "fourth", "fifths", f"other{2 * i + k}"])) for i in range(10) for k in range(2)]
+    for hot, splits in ((4, line_dedup.SPLITS), (1, 1)):
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        monkeypatch.setattr(line_dedup, "SPLITS", splits)
+        assert {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(frame(spark, rows)).collect()} == {i: i % 2 for i, _ in rows}
+
+
 def test_short_lines_go_where_they_are_equal(spark):
     rows = [(1, "Read more\n\n***\n日本語の長い文章がここにあります。\nonly here"), (2, "read MORE!\n * * * \n\n日本語の長い文章がここにあります\n***\nread less"), (3, "Read more\nRead more\n  ")]
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(frame(spark, rows), short=True).collect()}
