@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.bytetext import ragged, slices, words
-from keyloom.llm.common import keep, lasting, released, scratch
+from keyloom.llm.common import keep, lasting, released, scratch, shrink_driver
 
 SAMPLE, NEIGHBOURS, BLOCK, THRESHOLD = 20_000, 25, 256, 0.3
 #: The mark of words that don't lean to toxic texts; examples that a word's share is shrunk by.
@@ -215,10 +215,12 @@ def learn(docs: DataFrame, labels: DataFrame, training) -> dict:
         first = named.groupBy("doc_id").agg(F.min("same").alias("same")).groupBy("same").agg(F.min("doc_id").alias("doc_id"))
         texts = named.join(first, ["doc_id", "same"]).groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.min("text").alias("text"))
         bagged = keep(texts.mapInPandas(released(_gather), "doc_id long, toxic int, words binary, counts binary"), "labelled-bags")
+        shrink_driver(spark)
         found = bagged.toPandas()
         share = float(found["toxic"].mean()) if len(found) else 0.0
         if not 0 < share < 1:
             return {"share": share, "shipped": None, "x": np.empty(0), "y": np.empty(0)}
+        shrink_driver(spark)
         shipped = spark.sparkContext.broadcast(_build(found, share))
         del found
 
