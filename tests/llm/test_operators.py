@@ -156,6 +156,23 @@ def test_long_lists_lose_no_link(spark, monkeypatch):
         assert {r.doc_id: r.n_removed for r in line_dedup.dedup_lines(frame(spark, rows)).collect()} == {i: i % 2 for i, _ in rows}
 
 
+def test_lines_that_cannot_be_similar_are_not_paired(spark, monkeypatch):
+    """Lines of one list, of which the leader's pairs were written and verified whatever their words."""
+    rows = [(i, " ".join([f"s{i}{c}" for c in "abcde"] + ["first", "second", "third", "fourth", "fifths", f"other{i}"])) for i in range(10)]
+    plain, written = line_dedup.keep, []
+
+    def counted(df, tag):
+        kept = plain(df, tag)
+        if tag in ("line-lists", "line-pairs"):
+            written.append((tag, kept.count()))
+        return kept
+
+    monkeypatch.setattr(line_dedup, "keep", counted)
+    assert line_dedup.dedup_lines(frame(spark, rows)).filter("n_removed > 0").isEmpty()
+    assert all(n > 0 for tag, n in written if tag == "line-lists")
+    assert {n for tag, n in written if tag == "line-pairs"} == {0}
+
+
 def test_short_lines_go_where_they_are_equal(spark):
     rows = [(1, "Read more\n\n***\n日本語の長い文章がここにあります。\nonly here"), (2, "read MORE!\n * * * \n\n日本語の長い文章がここにあります\n***\nread less"), (3, "Read more\nRead more\n  ")]
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(frame(spark, rows), short=True).collect()}
