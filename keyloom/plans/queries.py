@@ -286,7 +286,7 @@ def lane_quota_topk(spark, d):
 @query(f"""WITH {_TOK}, c AS (SELECT doc_id, pos, word, list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN 5 PRECEDING AND 1 PRECEDING) AS ctx FROM tok), k AS (SELECT unnest(list_transform(range(1, least(5, len(ctx)) + 1), lambda n: array_to_string(ctx[len(ctx) - n + 1 : len(ctx)], ' '))) AS key, word FROM c)
 SELECT key, word, count(*) AS cnt FROM k WHERE key IS NOT NULL GROUP BY ALL HAVING count(*) >= 3""")
 def context_backoff_keys(spark, d):
-    return contexts.backoff(read(spark, d, "documents")).groupBy("key", "word").agg(F.count("*").alias("cnt")).filter("cnt >= 3")
+    return contexts.frequent(read(spark, d, "documents"), 3)
 
 
 @query("""WITH b AS (SELECT user_id % 10 AS source, event_type AS operation, event_id % 7 AS state, count(*) AS w FROM events GROUP BY ALL)

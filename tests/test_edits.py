@@ -199,3 +199,21 @@ def test_only_wanted_contexts_are_shuffled(spark, monkeypatch):
         found = contexts.counts_of(docs, wanted)
         assert {tuple(r) for r in found.collect()} == {("aa bb", "cc", 2), ("xx", "aa", 1), ("aa", "bb", 2)}
         assert contexts._held(contexts.backoff(docs), wanted, 1).count() < 20 < contexts.backoff(docs).count()
+
+
+def test_rare_contexts_are_not_counted(spark, monkeypatch):
+    """Longer contexts are counted only where their parts are frequent; the counts are those of all contexts."""
+    texts = ["aa bb cc dd ee ff gg", "bb cc dd ee ff", "xx cc dd ee ff hh", "aa bb cc", "", None] + [f"one{chr(97 + i)} two{chr(97 + i)} three{chr(97 + i)} cc dd ee" for i in range(20)]
+    docs = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "doc_id long, lang string, text string")
+    plain = contexts.backoff(docs).groupBy("key", "word").count().filter("count >= 3")
+    asked, held = [], contexts._held
+
+    def seen(rows, wanted, seed):
+        found = held(rows, wanted, seed)
+        asked.append((rows.count(), found.count()))
+        return found
+
+    monkeypatch.setattr(contexts, "_held", seen)
+    got = contexts.frequent(docs, 3)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) and got.filter("key = 'cc dd'").count() == 1
+    assert asked[0] == (93, 51) and asked[-1][1] == 0
