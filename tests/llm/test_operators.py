@@ -173,6 +173,21 @@ def test_lines_that_cannot_be_similar_are_not_paired(spark, monkeypatch):
     assert {n for tag, n in written if tag == "line-pairs"} == {0}
 
 
+def test_bitmaps_of_long_lines_tell_them_apart(spark):
+    """Bits for words that are there at all were nearly all set in lines of 600 words."""
+    rows = [(k, [f"{k}x{i}" for i in range(600)]) for k in range(2)]
+    a, b = [r.w for r in spark.createDataFrame(rows, "k int, words array<string>").select("k", line_dedup._word_bitmaps(F.col("words")).alias("w")).orderBy("k").collect()]
+    assert sum(bin((x ^ y) & (1 << 64) - 1).count("1") for x, y in zip(a, b)) > 32
+
+
+def test_a_long_list_in_one_main_component_is_not_split(spark, monkeypatch):
+    """20 lines of one component and two others, in a list above HOT: the others meet all, the 20 not one another."""
+    monkeypatch.setattr(line_dedup, "HOT", 8)
+    rows = [(1, k, max(0, k - 19), 1, 1, 1, 20, 22) for k in range(22)]
+    pairs, hot = line_dedup._pairs(spark.createDataFrame(rows, "block long, h1 long, label long, bits long, w0 long, w1 long, size int, rows long"))
+    assert hot.isEmpty() and sorted(map(tuple, pairs.collect())) == sorted([(k, j) for k in range(20) for j in (20, 21)] + [(20, 21)])
+
+
 def test_short_lines_go_where_they_are_equal(spark):
     rows = [(1, "Read more\n\n***\n日本語の長い文章がここにあります。\nonly here"), (2, "read MORE!\n * * * \n\n日本語の長い文章がここにあります\n***\nread less"), (3, "Read more\nRead more\n  ")]
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(frame(spark, rows), short=True).collect()}
