@@ -188,6 +188,18 @@ def test_a_long_list_in_one_main_component_is_not_split(spark, monkeypatch):
     assert hot.isEmpty() and sorted(map(tuple, pairs.collect())) == sorted([(k, j) for k in range(20) for j in (20, 21)] + [(20, 21)])
 
 
+def test_lines_of_long_lists_are_verified_where_they_meet(spark, monkeypatch):
+    """20 lines of one component and six others, alike by their signs: only what is similar makes a pair."""
+    monkeypatch.setattr(line_dedup, "HOT", 25)
+    letters = [chr(0x3400 + i) for i in range(2000)]
+    norm = {k: "".join(letters[20 * k + i] for i in range(20)) for k in range(26)}
+    norm[25] = norm[3][:18] + norm[25][18:]
+    rows = [(1, k, max(0, k - 19), 1, 1, 1, 20, 26) for k in range(26)]
+    texts = spark.createDataFrame(list(norm.items()), "h1 long, norm string")
+    pairs, hot = line_dedup._pairs(spark.createDataFrame(rows, "block long, h1 long, label long, bits long, w0 long, w1 long, size int, rows long"), lambda led: texts)
+    assert hot.isEmpty() and [tuple(r) for r in pairs.collect()] == [(3, 25)]
+
+
 def test_short_lines_go_where_they_are_equal(spark):
     rows = [(1, "Read more\n\n***\n日本語の長い文章がここにあります。\nonly here"), (2, "read MORE!\n * * * \n\n日本語の長い文章がここにあります\n***\nread less"), (3, "Read more\nRead more\n  ")]
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(frame(spark, rows), short=True).collect()}
