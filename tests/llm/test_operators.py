@@ -200,6 +200,22 @@ def test_lines_of_long_lists_are_verified_where_they_meet(spark, monkeypatch):
     assert hot.isEmpty() and [tuple(r) for r in pairs.collect()] == [(3, 25)]
 
 
+def test_two_lines_share_one_list(spark, monkeypatch):
+    """Equal lists of two lines were kept once for each block that they have in common."""
+    base = [f"word{k}x" for k in range(60)]
+    plain, lists = line_dedup.keep, []
+
+    def counted(df, tag):
+        kept = plain(df, tag)
+        if tag == "line-lists":
+            lists.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(line_dedup, "keep", counted)
+    got = line_dedup.dedup_lines(frame(spark, [(1, " ".join(base)), (2, " ".join(["another", *base[1:]]))]))
+    assert {r.doc_id: r.n_removed for r in got.collect()} == {1: 0, 2: 1} and lists == [1]
+
+
 def test_short_lines_go_where_they_are_equal(spark):
     rows = [(1, "Read more\n\n***\n日本語の長い文章がここにあります。\nonly here"), (2, "read MORE!\n * * * \n\n日本語の長い文章がここにあります\n***\nread less"), (3, "Read more\nRead more\n  ")]
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(frame(spark, rows), short=True).collect()}
