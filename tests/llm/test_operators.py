@@ -216,6 +216,30 @@ def test_two_lines_share_one_list(spark, monkeypatch):
     assert {r.doc_id: r.n_removed for r in got.collect()} == {1: 0, 2: 1} and lists == [1]
 
 
+def test_a_pair_is_verified_once(spark, monkeypatch):
+    """Two lines alike by all signs but not similar were verified with their list's smallest line, then once more as a pair of the list."""
+    base = [f"word{k}x" for k in range(20)]
+    plain, pairs = line_dedup.keep, []
+
+    def counted(df, tag):
+        kept = plain(df, tag)
+        if tag == "line-pairs":
+            pairs.append(kept.count())
+        return kept
+
+    monkeypatch.setattr(line_dedup, "keep", counted)
+    got = line_dedup.dedup_lines(frame(spark, [(1, " ".join(base)), (2, " ".join(base[::-1]))]))
+    assert {r.n_removed for r in got.collect()} == {0} and sum(pairs) == 1
+
+
+def test_simhash_has_the_bits_of_most_hashes(spark):
+    rng = random.Random(6)
+    rows = [([rng.randrange(-(1 << 63), 1 << 63) for _ in range(n)],) for n in (1, 2, 3, 4, 5, 6, 7) for _ in range(5)]
+    h = F.col("h")
+    got = spark.createDataFrame(rows, "h array<long>").select("h", line_dedup.simhash(F.size(h), lambda k: F.get(h, F.lit(k)), lambda: h).alias("sim")).collect()
+    assert all((r.sim >> k & 1) == (2 * sum(x >> k & 1 for x in r.h) > len(r.h)) for r in got for k in range(64))
+
+
 def test_short_lines_go_where_they_are_equal(spark):
     rows = [(1, "Read more\n\n***\n日本語の長い文章がここにあります。\nonly here"), (2, "read MORE!\n * * * \n\n日本語の長い文章がここにあります\n***\nread less"), (3, "Read more\nRead more\n  ")]
     got = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup_lines(frame(spark, rows), short=True).collect()}
